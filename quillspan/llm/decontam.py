@@ -205,8 +205,8 @@ def self_add(into: dict[int, set], docs: np.ndarray, owners: np.ndarray) -> None
             into.setdefault(d, set()).add(o)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int | None = 2, block_words: int = BLOCK_WORDS, store: bool = True) -> DataFrame:
-    """Per document row: doc_id, n_words, hits (word positions inside exact windows), items, near_items."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int | None = 2, block_words: int = BLOCK_WORDS, keep_key: bool = False) -> DataFrame:
+    """Per document row: doc_id, n_words, hits (word positions inside exact windows), items, near_items; key: hash of the text."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     letters = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-letters // (4 * block_words)))  # a word and what divides it take 4 letters or so; counted again below
@@ -215,9 +215,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         windows, owner, ids = test_windows([tuple(r) for r in mine.toLocalIterator()], width)
         index = build_index(docs, windows)
-        parts.append(search(stored(index, "postings") if store else index, windows, owner, ids, slop))
+        parts.append(search(stored(index, "postings"), windows, owner, ids, slop))
     if blocks == 1:
-        return parts[0].drop("key")
+        return parts[0] if keep_key else parts[0].drop("key")
     every = parts[0].select("*")
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -227,13 +227,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("near_items")))).alias("near_items"),
     )
-    return joined.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).select("doc_id", "n_words", "hits", "items", F.array_except("near_items", "items").alias("near_items"))
+    return joined.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).select("doc_id", *["key"] * keep_key, "n_words", "hits", "items", F.array_except("near_items", "items").alias("near_items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
 
 

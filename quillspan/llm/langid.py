@@ -24,7 +24,6 @@ FIT_ROWS = 1500
 BITS = 15
 SMOOTH = 0.2
 ROUNDS = 12
-OUT = "lang_pred string, score double, shares map<string,double>"
 
 _word = np.zeros(256, bool)
 _word[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -139,8 +138,8 @@ def infer(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[
     return pred, share.max(1).clip(0, 1), [{langs[j]: float(share[i, j]) for j in np.flatnonzero(best[i])} for i in range(n)]
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns of keep with lang_pred, score and shares added."""
+def score(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], prefix: str = "") -> DataFrame:
+    """The columns of keep with lang_pred, score and shares added, under names with the prefix."""
     langs, logp = model
     picked = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
@@ -154,10 +153,11 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str])
                 few = batch.slice(lo, hi - lo)
                 pred, share, shares = infer(few.column(len(keep)).to_pylist(), langs, logp)
                 add = [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*few.columns[:-1], *add], [*keep, "lang_pred", "score", "shares"])
+                yield pa.RecordBatch.from_arrays([*few.columns[:-1], *add], [*keep, *added])
                 lo = hi
 
-    return picked.mapInArrow(run, f"{schema}, {OUT}")
+    added = [f"{prefix}{c}" for c in ("lang_pred", "score", "shares")]
+    return picked.mapInArrow(run, f"{schema}, {', '.join(f'{c} {t}' for c, t in zip(added, ('string', 'double', 'map<string,double>'), strict=True))}")
 
 
 def fold(docs: DataFrame, modulus: int):
@@ -165,7 +165,8 @@ def fold(docs: DataFrame, modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def identify(docs: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS, prefix: str = "") -> DataFrame:
     """Fits on the rows that aren't held out, predicts every row."""
     model = fit(docs.where(fold(docs, 4) != 2).select("doc_id", "text", "lang"), fit_rows)
-    return score(docs.withColumn("held_out", F.coalesce(fold(docs, 4) == 2, F.lit(False))), model, [*keep, "held_out"])
+    held_out = f"{prefix}held_out"
+    return score(docs.withColumn(held_out, F.coalesce(fold(docs, 4) == 2, F.lit(False))), model, [*keep, held_out], prefix)

@@ -30,7 +30,7 @@ ROUNDS = 150
 RATE = 0.15
 L1 = 2e-4
 START = -9.0
-OUT = "score double, n_sentences int, sentences array<struct<start:int,stop:int,score:double>>"
+OUT = ("double", "int", "array<struct<start:int,stop:int,score:double>>")
 
 
 
@@ -120,8 +120,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, floa
     return (np.frombuffer(rows[0]["w"], np.float32), rows[0]["bias"]) if rows else (np.zeros(1 << BITS, np.float32), START * 10)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], locate: float | None = None) -> DataFrame:
-    """The columns of keep with score and n_sentences; locate: also the sentences that score as much, with character offsets."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], locate: float | None = None, prefix: str = "") -> DataFrame:
+    """The columns of keep with score and n_sentences, under names with the prefix; locate: also the sentences that score as much, with character offsets."""
     w, bias = model
     picked = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
@@ -153,15 +153,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], loc
                             found.append({"start": a, "stop": e, "score": float(p)})
                 spans.append(found)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64()), pa.array(counts, pa.int32()), pa.array(spans, kind)], [*keep, "score", "n_sentences", "sentences"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64()), pa.array(counts, pa.int32()), pa.array(spans, kind)], [*keep, *added])
 
-    return picked.mapInArrow(run, f"{schema}, {OUT}")
+    added = [f"{prefix}{c}" for c in ("score", "n_sentences", "sentences")]
+    return picked.mapInArrow(run, f"{schema}, {', '.join(f'{c} {t}' for c, t in zip(added, OUT, strict=True))}")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS, locate: float | None = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS, locate: float | None = 0.5, prefix: str = "") -> DataFrame:
     """Fits on labelled rows that aren't held out, scores every row."""
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), "toxic")
     kept = fold(docs, 5) != 0
     labelled = docs.where(kept).join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
     model = fit(labelled, fit_rows)
-    return score(docs.withColumn("held_out", F.coalesce(fold(docs, 5) == 0, F.lit(False))), model, [*keep, "held_out"], locate)
+    held_out = f"{prefix}held_out"
+    return score(docs.withColumn(held_out, F.coalesce(fold(docs, 5) == 0, F.lit(False))), model, [*keep, held_out], locate, prefix)
