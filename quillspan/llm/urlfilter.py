@@ -162,7 +162,7 @@ def judge(pages: DataFrame, keep: list[str], rules: dict[str, str] | None = None
     mine = lambda df, s: df.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s) if shards > 1 else df
     for s in range(shards):
         cascade = build(mine(rows, s), mine(universe, s))
-        own = F.filter("keys", lambda k, s=s: F.pmod(F.xxhash64(k), F.lit(shards)) == s) if shards > 1 else F.col("keys")
+        own = F.expr(f"filter(keys, k -> pmod(xxhash64(k), {shards}) = {s})") if shards > 1 else F.col("keys")
         out = out.withColumn("listed", F.concat("listed", _listed(cascade)(own)))
     return _decide(out, keep, rules, hosts)
 
