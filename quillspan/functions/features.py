@@ -23,7 +23,7 @@ def month_key(c: str | Column) -> Column:
     """`YYYY_M`, the month without a leading zero."""
     c = F.col(c) if isinstance(c, str) else c
     s = c.cast("string")
-    return F.concat(F.substring(s, 1, 4), F.lit("_"), F.ltrim(F.lit("0"), F.substring(s, 6, 2)))
+    return F.concat(F.substring(s, 1, 4), F.lit("_"), F.regexp_replace(F.substring(s, 6, 2), "^0", ""))
 
 
 def split_month(c: str) -> tuple[Column, Column]:

@@ -68,12 +68,17 @@ def lead_patches(df: DataFrame, key: str, image: str) -> DataFrame:
     for r, names in enumerate(LEADS):
         for c, name in enumerate(names):
             inner = F.slice("__i", F.lit(r) * F.col("__h") + F.col("__my") + 1, F.greatest(F.col("__h") - 2 * F.col("__my"), F.lit(0)))
-            cut = F.transform(inner, lambda row, c=c: F.slice(row, F.lit(c) * F.col("__w") + F.col("__mx") + 1, F.greatest(F.col("__w") - 2 * F.col("__mx"), F.lit(0))))
+            left = F.lit(c) * F.col("__w") + F.col("__mx") + 1
+            cut = F.transform(inner, _columns(left, F.greatest(F.col("__w") - 2 * F.col("__mx"), F.lit(0))))
             empty = (F.col("__my") == 0) | (F.col("__mx") == 0)
             parts.append(F.struct(F.lit(name).alias("lead"), F.when(empty, F.slice(cut, 1, 0)).otherwise(cut).alias("patch")))
     return sized.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.lead", "p.patch")
 
 
+def _columns(first: Column, n: Column):
+    return lambda row: F.slice(row, first, n)
+
+
 def column_envelope(df: DataFrame, keys: list[str], image: str, lit_over: float = 0.0) -> DataFrame:
     """(keys, x, height, y_min, y_max, mid) of the columns that have a lit pixel; mid = height - (y_min + y_max) / 2."""
     pixels = df.select(*keys, F.size(image).alias("height"), F.posexplode(image).alias("y", "__row"))

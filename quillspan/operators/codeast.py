@@ -202,7 +202,6 @@ FACTS = (
 )
 
 
-@F.pandas_udf(FACTS)
 def _facts(source: pd.Series) -> pd.DataFrame:
     rows = []
     for s in source.fillna(""):
@@ -214,4 +213,4 @@ def _facts(source: pd.Series) -> pd.DataFrame:
 
 def analyse(source: str | Column) -> Column:
     """All facts of a source in one struct."""
-    return _facts(F.col(source) if isinstance(source, str) else source)
+    return F.pandas_udf(_facts, FACTS)(F.col(source) if isinstance(source, str) else source)

@@ -1,10 +1,6 @@
-"""The registered queries over the driver tables and their SQL."""
+"""All queries over the driver tables outside the training-data operators."""
 
-from __future__ import annotations
+from quillspan.plans import hierarchy, retrieval, signals, telemetry  # noqa: F401  they register themselves
+from quillspan.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
