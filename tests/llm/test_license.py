@@ -19,7 +19,7 @@ def test_base_places_overlap_nothing_is_lost():
 
 
 def test_fuzzy_matches_report_spans_and_edits():
-    assert found("x y Released under teh MIT Licence. z")[2] == [("mit", 2, 6, 3)] or found("x y Released under the MIT Licence. z")[2][0][:2] == ("mit", 2)
+    assert found("x y Released under the MIT Licence. z")[2] == [("mit", 2, 6, 1)]
     n, base, matches = found("so: Licensed undr the Apache License, Version 2.0 here")
     assert base == [("apache", 4)] and matches == [("apache", 1, 8, 1)]
     assert found("Licensed under CC BY-NC 4.0.")[2] == [("cc-by-nc", 0, 4, 0)]
