@@ -30,12 +30,14 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies respond share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Elements that leave the head open.
+HEAD = frozenset("html head title meta link base".split()) | RAW
 #: What an opening tag closes, if that is open within the scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}}
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
-_attr = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_attr = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _split = re.compile(r"[^a-z0-9]+")
 
 
@@ -93,6 +95,12 @@ def parse(html: str) -> Node:
                     break
                 if stack[i].tag in BLOCK:
                     break
+        if tag not in HEAD:
+            # a head ends at the first element of a body; menus and headers hold no article
+            ends = ("head", "nav", "header") if tag in ("article", "main") else ("head",)
+            at_end = next((i for i in range(1, len(stack)) if stack[i].tag in ends), None) if tag in ("article", "main") or len(stack) < 5 else None
+            if at_end is not None:
+                del stack[at_end:]
         if tag in CLOSES:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SCOPES[tag]:

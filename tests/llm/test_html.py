@@ -23,6 +23,17 @@ def test_sections_stay_together():
     assert html.main_text(page) == f"{LONG}\nShort."
 
 
+def test_unclosed_head_and_menu():
+    assert html.main_text(f"<html><head><title>T</title><body><p>{LONG}</p>") == LONG
+    assert html.main_text(f"<head><meta charset=x><p>{LONG}") == LONG
+    assert html.main_text(f"<body><nav><ul><li>Menu<article><p>{LONG}</p></article>") == LONG
+
+
+def test_attributes_are_read_as_such():
+    page = f'<body><div data-id="nav" style="overflow: hidden" title="class=ad"><p>{LONG}</p></div><div hidden><p>{LONG}</p></div><div class=ad><p>{LONG}</p></div></body>'
+    assert html.main_text(page) == LONG
+
+
 def test_odd_pages(spark):
     pages = [None, "", "plain text, no tags", "<p>a", "<p>&lt;b&gt; &#233; &bogus;</p>", "<script>x", "<!-- only -->", "<nav>menu</nav>", "a < b", "<p>" * 3000 + "deep", "<div>" * 3000 + "deep"]
     df = spark.createDataFrame([(i, h, "u") for i, h in enumerate(pages)], "page_id long, html string, text string")
