@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of the words it holds; the document's is the
-noisy-or of its sentences' scores, 1 - prod(1 - p). Weights are trained from document labels alone, by full-batch gradient
+noisy-or of its sentences' scores, 1 - prod(1 - p). Words whose document frequency hardly differs between the labels are
+screened out; the others' weights are trained from document labels alone, by full-batch gradient
 steps on the noisy-or likelihood with an L1 proximal step, then the sentence scores locate offending sentences.
 
 The classifier is fitted on at most about FIT_ROWS labelled whole documents (a documented bound; rows are taken by a hash
@@ -26,6 +27,8 @@ from quillspan.llm.langid import fold
 FIT_ROWS = 12_000
 BITS = 18
 MIN_DOCS = 4
+#: Words that differ less between the labels take no weight.
+LEAST_Z = 2.5
 ROUNDS = 150
 RATE = 0.15
 L1 = 2e-4
@@ -65,6 +68,17 @@ def bag(text: str | None, bins: Bins) -> tuple[np.ndarray, np.ndarray, int]:
     return np.array(b, np.int64), np.array(s, np.int64), n
 
 
+def _screened(d: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bins in at least MIN_DOCS documents whose document frequency differs between the labels by LEAST_Z deviations."""
+    pair = np.unique((d << BITS) | b)
+    doc, bin_ = pair >> BITS, pair & ((1 << BITS) - 1)
+    n, pos = np.bincount(bin_, minlength=1 << BITS), np.bincount(bin_, y[doc], 1 << BITS)
+    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
+    p = n / len(y)
+    z = (pos / n1 - (n - pos) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    return (n >= MIN_DOCS) & (np.abs(z) >= LEAST_Z)
+
+
 def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     """Weights of the bins and the intercept."""
     bins, b, s, d, n = Bins(), [], [], [], 0
@@ -78,9 +92,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     b, s, d, y = np.concatenate(b), np.concatenate(s), np.concatenate(d), np.array(labels, float)
     pair = np.unique((s << BITS) | b)  # a word counts once in a sentence
     s, b = pair >> BITS, pair & ((1 << BITS) - 1)
-    per_doc = np.unique((d[s] << BITS) | b) & ((1 << BITS) - 1)
-    common = np.bincount(per_doc, minlength=1 << BITS) >= MIN_DOCS
-    s, b = s[common[b]], b[common[b]]
+    s, b = s[(kept := _screened(d[s], b, y))[b]], b[kept[b]]
     bias, m, v, mb, vb = START, np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
         z = np.bincount(s, w[b], n) + bias
