@@ -113,13 +113,17 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return y.astype(np.int64)
 
 
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", "text", F.col("source").cast("string"))
+
+
 PIECES = "array<struct<shard:int,slot:long,pass:int,start:long,n:long>>"
 
 
 def plan(docs: DataFrame, keep: list[str], shards: int = SHARDS, seed: int = SEED, weights: tuple = WEIGHTS, share: float = SHARE, repeat: float = REPEAT) -> DataFrame:
     """The columns of keep with __size, source_size, target and pieces: what of a row goes where, in words of the row."""
     text = F.col("text")
-    base = docs.select(*(F.col(c).alias(f"__k_{c}") for c in keep), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64("doc_id", "text").alias("h"))
+    base = docs.select(*(F.col(c).alias(f"__k_{c}") for c in keep), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), row_hash().alias("h"))
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
     rows = stored(base.withColumn("skey", skey), "sized")
     sizes = rows.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
@@ -208,12 +212,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Rows of a shard stand together, in the order of a hash of source, pass and slot (the local shuffle); the text of a piece
     is cut from its document without changing it.
     """
-    plans = plan(docs.select("doc_id", "text", "source"), ["doc_id"], **options)
-    plans = plans.where(F.size("pieces") > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), "__h", "pieces")
-    # equal rows are interchangeable: pieces of the k-th plan go to the k-th of them
-    nth = lambda df: df.withColumn("__nth", F.expr("row_number() over (partition by __id, __h order by __id)"))
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"), F.xxhash64("doc_id", "text").alias("__h"), "source", "text")
-    rows = nth(texts).join(nth(plans), ["__id", "__h", "__nth"]).select("doc_id", "source", "text", "pieces")
+    # equal rows are interchangeable, so theirs are gathered: texts are shuffled once, by the keys of the join
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"), "__h"]
+    plans = plan(docs.select("doc_id", "text", "source"), ["doc_id"], **options).where(F.size("pieces") > 0)
+    plans = plans.groupBy(*keys).agg(F.flatten(F.collect_list("pieces")).alias("pieces"))
+    texts = docs.select("doc_id", "source", "text", row_hash().alias("__h")).groupBy(*keys).agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "text")))
+    rows = texts.join(plans, ["__id", "__h"]).select("doc_id", "source", "text", "pieces")
 
     def cut(batches):
         import re
