@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import shared_dir, stored
+from quillspan.llm.common import own_dir, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 EOD = 50256
@@ -141,7 +141,7 @@ def tails(run: DataFrame, documents: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, eod: int = EOD) -> DataFrame:
     """doc_id and n_tokens of every row: flat files are written, scanned for separators and removed from the result's view."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/quillspan/flat-{uuid.uuid4().hex}"
+    folder = f"{own_dir(spark)}/flat-{uuid.uuid4().hex}"
     made = spark._jvm.org.apache.hadoop.fs.Path(folder)
     made.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(made)
     listed = write_flat(docs, folder, vocabulary, eod)
