@@ -57,9 +57,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """labelled: (doc_id, text, lang). Returns the languages and log-probabilities [bins, languages]."""
     usable = labelled.where("text is not null and lang is not null")
-    sizes = usable.groupBy("lang").count()
+    # a row a language, as the model below has; texts aren't shuffled by so skewed a key
+    rates = {r["lang"]: fit_rows / r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not rates:
+        return [], np.zeros((1 << BITS, 0), np.float32)
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.join(sizes, "lang").where(part < F.lit(float(fit_rows)) / F.col("count")).select("lang", "text")
+    rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))
+    sample = usable.where(part < F.try_element_at(rate, F.col("lang"))).select("lang", "text")
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
