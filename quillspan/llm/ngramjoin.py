@@ -191,6 +191,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     classes = small.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class"))
     placed = small.join(classes, "root").select("node", "links", "class")
     whole = nodes.join(placed, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class", "rep").alias("class"))
+    whole = stored(whole, "classes")  # both sides of the last join are plain exchanges, so Spark splits a node of very many copies
     out = signed.drop("bands").join(whole, "node", "left")
     return out.select("key", "th", "n_grams", F.coalesce("class.key", "key").alias("class_key"), F.coalesce("class.th", "th").alias("class_th"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
