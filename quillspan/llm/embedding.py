@@ -19,6 +19,8 @@ a null vec_id gives a null component unless it has copies or links; extra column
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import UnionFind, components, stored
 
 THRESHOLD = 0.95
-PIVOT_SAMPLE = 4096
+PIVOT_SAMPLE = 16_384
 PER_SHARD = 600
 OVERLAP = 2
 BLOCK = 1024
@@ -57,7 +59,10 @@ def pivots_of(nodes: DataFrame, n: int, seed: int = 0) -> np.ndarray:
     """Pivots: of a hash sample of at most PIVOT_SAMPLE nodes, those that aren't near an earlier one."""
     wanted = min(PIVOT_SAMPLE, max(1, 3 * n // PER_SHARD))
     sample = nodes.select("v", F.xxhash64("node", F.lit(seed)).alias("h")).orderBy("h").limit(wanted).select("v").toLocalIterator()
-    x = matrix([r["v"] for r in sample])
+    rows = [r["v"] for r in sample]
+    sizes = [len(v) for v in rows]
+    usual = max(set(sizes), key=lambda d: (sizes.count(d), d))
+    x = matrix([v for v in rows if len(v) == usual])  # the usual dimension's
     kept: list[int] = []
     for i in range(len(x)):
         if not kept or (x[kept] @ x[i]).max() < 0.8:
@@ -65,70 +70,73 @@ def pivots_of(nodes: DataFrame, n: int, seed: int = 0) -> np.ndarray:
     return x[kept[: max(1, -(-n // PER_SHARD))]]
 
 
-def _neighbours(x: np.ndarray, lists: list, node: int) -> np.ndarray:
-    return np.asarray(lists[node], np.int64)
-
-
-def greedy(x: np.ndarray, lists: list, start: int, q: np.ndarray, beam: int, radius: float | None = None) -> tuple[list[int], list[int]]:
+def greedy(x: np.ndarray, lists: list[np.ndarray], start: int, q: np.ndarray, beam: int, radius: float | None = None) -> tuple[list[int], list[int]]:
     """(visited nodes, nodes with cosine >= radius): best-first with a beam, then over all neighbours in range."""
-    import heapq
-
-    seen = {start}
+    seen = np.zeros(len(x), bool)
+    seen[start] = True
     s = float(x[start] @ q)
     heap, best, visited = [(-s, start)], [s], []
-    inside = [start] if radius is not None and s >= radius else []
+    reach = 2.0 if radius is None else radius
+    inside = [start] if s >= reach else []
     while heap:
         s, node = heapq.heappop(heap)
-        if -s < best[0] and len(best) >= beam and (radius is None or -s < radius):
+        if -s < best[0] and len(best) >= beam and -s < reach:
             break
         visited.append(node)
-        new = [y for y in lists[node] if y not in seen]
-        if not new:
+        new = lists[node]
+        new = new[~seen[new]]
+        if not len(new):
             continue
-        seen.update(new)
-        for y, c in zip(new, (x[new] @ q).tolist(), strict=True):
-            near = radius is not None and c >= radius
-            if near:
+        seen[new] = True
+        near = x[new] @ q
+        if len(best) >= beam:  # the rest can't enter
+            good = near > min(best[0], reach)
+            new, near = new[good], near[good]
+        for y, c in zip(new.tolist(), near.tolist(), strict=True):
+            if c >= reach:
                 inside.append(y)
-            if near or len(best) < beam or c > best[0]:
-                heapq.heappush(heap, (-c, y))
+            elif len(best) >= beam and c <= best[0]:
+                continue
+            heapq.heappush(heap, (-c, y))
+            if len(best) < beam:
                 heapq.heappush(best, c)
-                if len(best) > beam:
-                    heapq.heappop(best)
+            elif c > best[0]:
+                heapq.heapreplace(best, c)
     return visited, inside
 
 
-def robust_prune(x: np.ndarray, node: int, pool: np.ndarray, degree: int, alpha: float) -> list[int]:
+def robust_prune(x: np.ndarray, node: int, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """The nearest of the pool that no kept neighbour is much nearer to (squared distances 2 - 2 cos)."""
     pool = pool[pool != node]
-    d = 2 - 2 * (x[pool] @ x[node])
-    order = np.argsort(d, kind="stable")
-    pool, d = pool[order], d[order]
+    near = x[pool] @ x[node]
+    order = np.argsort(-near, kind="stable")
+    pool, d = pool[order], 2 - 2 * near[order]
+    own = x[pool]
     alive, kept = np.ones(len(pool), bool), []
     for i in range(len(pool)):
         if alive[i]:
-            kept.append(int(pool[i]))
+            kept.append(i)
             if len(kept) == degree:
                 break
-            alive[i:] &= alpha * (2 - 2 * (x[pool[i:]] @ x[pool[i]])) > d[i:]
-    return kept
+            alive &= alpha * (2 - 2 * (own @ own[i])) > d
+    return pool[kept]
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> tuple[list[list[int]], int]:
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> tuple[list[np.ndarray], int]:
     """Adjacency lists and the medoid of a shard."""
     n = len(x)
     medoid = int(np.argmax(x @ x.mean(0)))
     rng = np.random.default_rng(n)
-    lists: list[list[int]] = [[] for _ in range(n)]
+    lists: list[np.ndarray] = [np.empty(0, np.int64)] * n
     for node in [medoid, *rng.permutation(n).tolist()]:
         visited, _ = greedy(x, lists, medoid, x[node], beam)
-        pool = np.unique(np.array([*visited, *(y for v in visited[:8] for y in lists[v]), *lists[node]], np.int64))
+        pool = np.unique(np.concatenate([np.array(visited, np.int64), *(lists[v] for v in visited[:8]), lists[node]]))
         lists[node] = robust_prune(x, node, pool, degree, alpha)
-        for y in lists[node]:
-            if node not in lists[y]:
-                lists[y].append(node)
+        for y in lists[node].tolist():
+            if not (lists[y] == node).any():
+                lists[y] = np.append(lists[y], node)
                 if len(lists[y]) > 2 * degree:
-                    lists[y] = robust_prune(x, y, np.array(lists[y]), degree, alpha)
+                    lists[y] = robust_prune(x, y, lists[y], degree, alpha)
     return lists, medoid
 
 
@@ -186,19 +194,21 @@ def _searcher(threshold: float, beam: int):
         n = len(rows)
         ids = np.array([r["node"] for r in rows], np.int64)
         place = {int(i): k for k, i in enumerate(ids)}
-        lists = [[place[y] for y in r["near"] or () if y in place] for r in rows]
-        for i, ys in enumerate(list(map(tuple, lists))):  # search needs both directions
+        near = [[place[y] for y in r["near"] or () if y in place] for r in rows]
+        for i, ys in enumerate(list(map(tuple, near))):  # search needs both directions
             for y in ys:
-                lists[y].append(i)
-        lists = [list(dict.fromkeys(y)) for y in lists]
+                near[y].append(i)
+        lists = [np.unique(np.array(y, np.int64)) for y in near]
         medoid = int(np.argmax(x @ x.mean(0)))
         shard, shards, own = rows[0]["shard"], [set(r["shards"]) for r in rows], [r["own"] for r in rows]
         diag = all(r["diag"] for r in rows)
         copies, links, forest = np.array([r["copies"] for r in rows], np.int64), np.zeros(n, np.int64), UnionFind(n)
         for i in range(n):
             _, inside = greedy(x, lists, medoid, x[i], beam, threshold - 1e-9)
-            for j in inside:
-                if j != i and float(x[i] @ x[j]) >= threshold - 1e-12:
+            inside = np.array([j for j in inside if j != i], np.int64)
+            exact = x[inside] @ x[i] if len(inside) else np.empty(0)
+            for j, c in zip(inside.tolist(), exact.tolist(), strict=True):
+                if c >= threshold:
                     # the link is counted in the first shard of both, and there where the two blocks meet
                     if min(shards[i] & shards[j]) == shard and (diag or own[i] != own[j]):
                         links[i] += copies[j]
@@ -260,6 +270,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
         placed = placed.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     else:
         placed = nodes.select("node", F.col("copies").alias("n_links"), F.col("rep").alias("component_id"))
+    placed = stored(placed, "placed-nodes")  # plain exchanges on both sides of the last join: a vector of very many copies is split
     out = all_rows.withColumn("node", F.when(F.col("v").isNotNull(), F.col("vh"))).drop("v", "vh").join(placed, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(recall).alias("recall"))
