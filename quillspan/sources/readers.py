@@ -103,6 +103,33 @@ def repository(spark: SparkSession, root: str, language: str = "python", strict:
     return out.where(F.size(F.split("content", "\n")) >= least_lines) if least_lines else out
 
 
+def archives(spark: SparkSession, root: str, extension: str = ".py") -> DataFrame:
+    """(archive, path, content, error) of the files with the extension in zip archives, those within archives too."""
+
+    def unpack(frames):
+        import io
+        import zipfile
+
+        def walk(data: bytes, prefix: str):
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                for name in sorted(n for n in z.namelist() if not n.endswith("/")):
+                    if name.endswith(".zip"):
+                        yield from walk(z.read(name), f"{prefix}{name.removesuffix('.zip')}/")
+                    elif name.endswith(extension):
+                        yield prefix + name, z.read(name).decode("utf-8", "replace").replace("\r\n", "\n")
+
+        for frame in frames:
+            for path, data in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows = [(path, p, c, None) for p, c in walk(data, "")]
+                except (zipfile.BadZipFile, RuntimeError) as e:
+                    rows = [(path, None, None, str(e))]
+                yield pd.DataFrame(rows, columns=["archive", "path", "content", "error"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+    return files.select("path", "content").mapInPandas(unpack, "archive string, path string, content string, error string")
+
+
 def repository_folder(repo: str | F.Column, revision: str | F.Column) -> F.Column:
     return F.concat(F.regexp_replace(repo, "/", "__"), F.lit("-"), F.col(revision) if isinstance(revision, str) else revision)
 

@@ -212,6 +212,23 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.threshold_override(spark, f"file://{tmp_path}/t.txt", 0.5) == 0.35 and readers.threshold_override(spark, f"file://{tmp_path}/no.txt", 0.5) == 0.5
 
 
+def test_archives_within_archives(spark, tmp_path):
+    import io
+    import zipfile
+
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a/x.py", "x = 1\r\n")
+        z.writestr("a/x.txt", "no")
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        z.writestr("repo.zip", inner.getvalue())
+        z.writestr("top.py", "y = 2")
+    (tmp_path / "bad.zip").write_bytes(b"broken")
+    rows = readers.archives(spark, f"file://{tmp_path}").collect()
+    assert sorted((r["path"], r["content"]) for r in rows if r["error"] is None) == [("repo/a/x.py", "x = 1\n"), ("top.py", "y = 2")]
+    assert len([r for r in rows if r["error"]]) == 1
+
+
 def test_stream_gives_the_batch_result(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.repartition(3).write.parquet(f"{tmp_path}/in")
