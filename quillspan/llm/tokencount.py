@@ -1,7 +1,7 @@
 """Token counts by a separator scan of flat unindexed token files.
 
-write_flat() tokenises documents and appends their ids to flat files of 32-bit little-endian numbers, an end-of-document
-id after each document, with nothing else in the files. scan() knows only the files: it deals them out in blocks of
+write_flat() tokenises documents and appends their ids to flat files of little-endian numbers (of 16 bits if all ids of the
+vocabulary fit, else 32), an end-of-document id after each document, with nothing else in the files. scan() knows only the files: it deals them out in blocks of
 BLOCK tokens, finds the separators of a block in one vectorised comparison, and stitches documents that run over block
 bounds with a prefix scan (separators before the block; tokens since the last separator, a two-level sum within a file).
 The k-th document of a file is the k-th separator.
@@ -16,6 +16,7 @@ in a document is ordinary text; extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import uuid
 from collections.abc import Iterator
 
@@ -36,20 +37,27 @@ RUN = 256
 LISTED = "path string, n_docs long, n_tokens long, doc_ids array<long>"
 
 
+def ranks(vocabulary: str) -> dict[bytes, int]:
+    with open(vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def encoder(vocabulary: str):
     """A byte-level BPE from a ranks file."""
-    import base64
-
     import public_tokenizers as P
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks(vocabulary), special_tokens={})
+
+
+def id_type(vocabulary: str, eod: int) -> str:
+    """The numbers of a flat file: the narrowest that hold every id."""
+    return "<u2" if max(eod, *ranks(vocabulary).values()) < 1 << 16 else "<u4"
 
 
 def write_flat(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, eod: int = EOD, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the files; returns the list of them with the doc_ids in their order, as a stored table."""
+    kind = id_type(vocabulary, eod)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -69,7 +77,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, eod:
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = [*pieces(enc, text.as_py() or ""), eod]
-                parts.append(np.array(tokens, "<u4").tobytes())
+                parts.append(np.array(tokens, kind).tobytes())
                 ids.append(i)
                 n += len(tokens)
                 if n >= file_tokens:
@@ -88,8 +96,9 @@ def pieces(enc, text: str) -> list[int]:
         return enc.encode_ordinary(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
 
 
-def scan(spark: SparkSession, folder: str, paths: DataFrame, eod: int = EOD, block: int = BLOCK) -> DataFrame:
-    """path, nth, n_tokens for every document of the listed files (column path); nth counts from 0."""
+def scan(spark: SparkSession, folder: str, paths: DataFrame, eod: int = EOD, block: int = BLOCK, kind: str = "<u4") -> DataFrame:
+    """path, nth, n_tokens for every document of the listed files (columns path, n_tokens) of numbers of a kind; nth counts from 0."""
+    wide = np.dtype(kind).itemsize
     sizes = paths.select("path", F.col("n_tokens").alias("length"))
     blocks = sizes.withColumn("block", F.explode(F.expr(f"sequence(0L, greatest(0L, (length - 1) div {block}))"))).repartition("path", "block")
 
@@ -100,8 +109,8 @@ def scan(spark: SparkSession, folder: str, paths: DataFrame, eod: int = EOD, blo
         for batch in batches:
             for path, length, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_file(path) as f:
-                    f.seek(4 * block * b)
-                    x = np.frombuffer(f.read(4 * min(block, length - block * b)), "<u4")
+                    f.seek(wide * block * b)
+                    x = np.frombuffer(f.read(wide * min(block, length - block * b)), kind)
                 at = np.flatnonzero(x == eod).astype(np.int64)
                 inner = np.diff(at) - 1
                 head, tail = (int(at[0]), len(x) - int(at[-1]) - 1) if len(at) else (len(x), len(x))
@@ -146,5 +155,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, eod: int = EOD)
     made.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(made)
     listed = write_flat(docs, folder, vocabulary, eod)
     names = listed.select("path", F.posexplode("doc_ids").alias("nth", "doc_id"))
-    counts = scan(spark, folder, listed, eod)
+    counts = scan(spark, folder, listed, eod, kind=id_type(vocabulary, eod))
     return names.join(counts, (names.path == counts.path) & (names.nth == counts.nth), "left").select("doc_id", "n_tokens")
