@@ -23,6 +23,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +43,26 @@ TARGET = 0.9
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array<double> of length 1, null if the vector can link with nothing)."""
-    v = F.col("embedding").cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    scaled = F.transform(v, lambda x: x / top)  # no overflow or underflow in the squares
-    norm = F.sqrt(F.aggregate(F.transform(scaled, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
-    unit = F.transform(scaled, lambda x: x / norm)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(v.isNotNull() & (F.size(v) > 0) & ~bad & (top > 0), unit).alias("v"))
+
+    def scale(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            begins = np.cumsum(sizes) - sizes
+            flat = pa.compute.fill_null(lists.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+            out: list = [None] * len(sizes)
+            for d in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == d)
+                x = flat[begins[at][:, None] + np.arange(d)]
+                at, x = at[np.isfinite(x).all(1)], x[np.isfinite(x).all(1)]
+                top = np.abs(x).max(1)
+                at, x = at[top > 0], x[top > 0] / top[top > 0][:, None]  # no overflow or underflow in the squares
+                for i, u in zip(at.tolist(), x / np.sqrt((x * x).sum(1))[:, None], strict=True):
+                    out[i] = u
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "v"])
+
+    picked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return picked.mapInArrow(scale, "vec_id long, v array<double>")
 
 
 def matrix(rows: list) -> np.ndarray:
