@@ -72,3 +72,16 @@ def test_awkward_vectors(spark):
 def test_empty(spark):
     assert run(spark, []).count() == 0
     assert [tuple(r)[:4] for r in run(spark, [(1, None)]).collect()] == [(1, 0, 1, True)]
+
+
+def test_scaling_of_awkward_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [3.0, 4.0]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [-inf, 1.0]), (6, []), (7, [0.0, 0.0]), (8, [3e300, 4e300]), (9, [3e-300, 4e-300]), (10, [0.0, 0.0, -2.0]), (None, [3.0, 4.0]), (11, [5.0])]
+    for kind in ("array<double>", "array<float>"):
+        usual = [r for r in rows if kind == "array<double>" or r[0] not in (8, 9)]
+        found = {r["vec_id"]: r["v"] for r in embedding.usable(spark.createDataFrame(usual, f"vec_id long, embedding {kind}").coalesce(1)).collect()}
+        assert len(found) == len(usual)
+        assert all(found[i] is None for i in (2, 3, 4, 5, 6, 7))
+        alike = [found[i] for i in (1, None, 8, 9) if i in found]
+        assert all(np.allclose(v, [0.6, 0.8], atol=1e-15) for v in alike)
+        assert found[10] == [0.0, 0.0, -1.0] and found[11] == [1.0]
