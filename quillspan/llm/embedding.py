@@ -9,8 +9,12 @@ than BLOCK nodes is cut into blocks and each pair of blocks is a task, so tasks
 aren't emitted: of the tasks that hold both nodes only one counts the link, and a task returns each node's number of links
 and a spanning link.
 
-Recall is audited: AUDIT nodes (a documented, fixed number of queries) are compared with every vector by brute force; below
-TARGET the index is built again with more overlap and wider beams.
+The overlap follows the number of pivots: it is the least at which pairs made at the threshold share a shard in SHARED of
+cases. Recall is audited: nodes in hashed order, AUDIT at first and AUDIT_MOST at most, are compared with every vector by
+brute force until AUDIT_LINKED of them have a true link within a small group; recall is the mean over such queries, or over all
+that have links if that is less. Below TARGET the index is built again with twice the overlap and beam; below it at
+OVERLAP_MOST too, all pairs of blocks are compared, in work that grows with the square of the nodes. Where no query has a true
+link, recall is null: not measured.
 
 Defined cases: null, zero and non-finite vectors, and those with null components, link with nothing and are components of
 their own; vectors of another dimension than the query's never link with it; rows that repeat a vector are copies;
@@ -33,11 +37,16 @@ THRESHOLD = 0.95
 PIVOT_SAMPLE = 16_384
 PER_SHARD = 600
 OVERLAP = 2
+OVERLAP_MOST = 16
+SHARED = 0.98
 BLOCK = 1024
 DEGREE = 24
 BEAM = 40
 ALPHA = 1.2
-AUDIT = 64
+AUDIT = 512
+AUDIT_MOST = 4096
+AUDIT_LINKED = 64
+SMALL_GROUP = 32
 TARGET = 0.9
 
 
@@ -84,6 +93,31 @@ def pivots_of(nodes: DataFrame, n: int, seed: int = 0) -> np.ndarray:
     return x[kept[: max(1, -(-n // PER_SHARD))]]
 
 
+def overlap_for(pivots: np.ndarray, threshold: float, least: int = OVERLAP, share: float = SHARED, pairs: int = 2048) -> int:
+    """The least overlap at which pairs with a cosine of threshold share a shard in `share` of cases, as drawn between and away from pivots."""
+    k, d = pivots.shape
+    if k <= least or d < 2:
+        return least
+    rng = np.random.default_rng(k)
+
+    def unit(v):
+        return v / np.sqrt((v * v).sum(1))[:, None]
+
+    x = unit(rng.normal(size=(pairs, d)))
+    near = np.arange(pairs) % 2 == 0  # half of them as the data lie
+    x[near] = unit(pivots[rng.integers(0, k, near.sum())] + pivots[rng.integers(0, k, near.sum())] + 1e-3 * x[near])
+    away = rng.normal(size=x.shape)
+    away = unit(away - (away * x).sum(1)[:, None] * x)
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * away
+    most = min(OVERLAP_MOST, k)
+    first = np.empty(pairs)  # the overlap from which a pair shares a shard
+    for lo in range(0, pairs, 128):
+        a, b = (np.argsort(-(v[lo : lo + 128] @ pivots.T), 1, kind="stable")[:, :most] for v in (x, y))
+        rank = np.maximum(np.arange(most)[:, None], np.arange(most)[None, :]) + 1
+        first[lo : lo + 128] = np.where(a[:, :, None] == b[:, None, :], rank, most + 1).min((1, 2))
+    return max(least, next((o for o in range(least, most) if min((first[near] <= o).mean(), (first[~near] <= o).mean()) >= share), most))
+
+
 def greedy(x: np.ndarray, lists: list[np.ndarray], start: int, q: np.ndarray, beam: int, radius: float | None = None) -> tuple[list[int], list[int]]:
     """(visited nodes, nodes with cosine >= radius): best-first with a beam, then over all neighbours in range."""
     seen = np.zeros(len(x), bool)
@@ -233,9 +267,46 @@ def _searcher(threshold: float, beam: int):
     return work
 
 
-def graph_links(nodes: DataFrame, n: int, threshold: float, overlap: int, beam: int) -> DataFrame:
+def _counter(threshold: float):
+    """All links of a task by products of its vectors."""
+
+    def work(rows: list) -> list:
+        x = matrix([r["v"] for r in rows])
+        n, shard, own = len(rows), rows[0]["shard"], np.array([r["own"] for r in rows])
+        ids, copies = np.array([r["node"] for r in rows], np.int64), np.array([r["copies"] for r in rows], np.int64)
+        link = np.triu(x @ x.T >= threshold, 1)
+        link |= link.T
+        if not all(r["diag"] for r in rows):
+            link &= own[:, None] != own[None, :]
+        # the link is counted in the first shard of both, and there where the two blocks meet
+        lower: dict = {}
+        pairs = [(i, lower.setdefault(s, len(lower))) for i in np.flatnonzero(link.any(1)).tolist() for s in rows[i]["shards"] if s < shard]
+        counted = link
+        if pairs:
+            m = np.zeros((n, len(lower)), np.float32)
+            m[tuple(np.array(pairs).T)] = 1
+            counted = link & ~(m @ m.T > 0)
+        root, new = np.arange(n), np.ones(n, bool)
+        for i in range(n):
+            if new[i]:
+                front = np.array([i])
+                while len(front):
+                    new[front], root[front] = False, i
+                    front = np.flatnonzero(link[front].any(0) & new)
+        return [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counted @ copies), pa.array(ids[root])], ["node", "links", "root"])]
+
+    return work
+
+
+def all_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """As graph_links(), of all pairs: every dimension is one shard, of which each two blocks are a task."""
+    usual = nodes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()["d"]
+    rows = dealt_rows(nodes, np.zeros((1, usual)), 1, BLOCK)
+    return stored(_by_task(rows, ["task", "shard", "own", "diag", "shards", "node", "copies", "v"], _counter(threshold), "node long, links long, root long"), "found")
+
+
+def graph_links(nodes: DataFrame, pivots: np.ndarray, threshold: float, overlap: int, beam: int) -> DataFrame:
     """Per node: links (weighted by copies) and the roots of its tasks' forests; nodes: node, copies, v."""
-    pivots = pivots_of(nodes, n)
     rows = stored(dealt_rows(nodes, pivots, overlap, BLOCK), "shards")
     built = _by_task(rows, ["task", "node", "v"], _built, "node long, near array<long>")
     united = stored(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
@@ -243,41 +314,58 @@ def graph_links(nodes: DataFrame, n: int, threshold: float, overlap: int, beam:
     return stored(_by_task(rows.join(united, "node"), columns, _searcher(threshold, beam), "node long, links long, root long"), "found")
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Found over true links of a fixed number of nodes, by brute force over all vectors."""
-    q = nodes.orderBy(F.xxhash64("node", F.lit(7))).limit(queries).select("node", "v").collect()
-    if not q:
-        return 1.0
+def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float | None:
+    """Mean share of true links found, over sampled nodes that have some; None if none of them has. Truth is by brute force over all vectors."""
+    order = nodes.select("node", "v").orderBy(F.xxhash64("node", F.lit(7)))
+    queries = AUDIT
+    while True:
+        q = order.limit(queries).collect()
+        rates = _audited(nodes, links, threshold, q) if q else []
+        small = [r for r, n in rates if n <= SMALL_GROUP]
+        if len(small) >= AUDIT_LINKED or len(q) < queries or queries >= AUDIT_MOST:
+            return min(float(np.mean(x)) for x in (small, [r for r, _ in rates]) if x) if rates else None
+        queries = min(AUDIT_MOST, 8 * queries)
+
+
+def _audited(nodes: DataFrame, links: DataFrame, threshold: float, q: list) -> list[tuple[float, int]]:
+    """(share of true links found, number of neighbours) of the nodes of q that have true links."""
     groups = [(np.array([r["node"] for r in q if len(r["v"]) == d], np.int64), matrix([r["v"] for r in q if len(r["v"]) == d])) for d in sorted({len(r["v"]) for r in q})]
 
     def count(batches):
+        sums = [np.zeros((2, len(ids)), np.int64) for ids, _ in groups]
         for batch in batches:
             v, copies, node = batch.column(2).to_pylist(), np.array(batch.column(1)), np.array(batch.column(0))
-            for ids, x in groups:
+            for (ids, x), held in zip(groups, sums, strict=True):
                 same = np.array([i for i, r in enumerate(v) if len(r) == x.shape[1]], np.int64)
-                if len(same):
-                    near = (matrix([v[i] for i in same]) @ x.T >= threshold) & (node[same][:, None] != ids[None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.T @ copies[same])], ["node", "truth"])
+                for lo in range(0, len(same), 256):
+                    part = same[lo : lo + 256]
+                    near = (matrix([v[i] for i in part]) @ x.T >= threshold) & (node[part][:, None] != ids[None, :])
+                    held += np.array([copies[part] @ near, near.sum(0)])
+        for (ids, _), held in zip(groups, sums, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, held)], ["node", "truth", "near"])
 
-    truth = nodes.select("node", "copies", "v").mapInArrow(count, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    sums = truth.join(links, "node", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "truth")).alias("got"), F.sum("truth").alias("all")).first()
-    return float(sums["got"]) / sums["all"] if sums["all"] else 1.0
+    truth = nodes.select("node", "copies", "v").mapInArrow(count, "node long, truth long, near long").groupBy("node").agg(F.sum("truth").alias("truth"), F.sum("near").alias("near"))
+    found = truth.where("truth > 0").join(links, "node", "left").select(F.least(F.coalesce("links", F.lit(0)), "truth") / F.col("truth"), "near").collect()
+    return [(float(r[0]), int(r[1])) for r in found]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, beam: int = BEAM, target: float = TARGET) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept, recall (as audited)."""
+    """Per row: vec_id, n_links, component_id, kept, recall (as audited, null if no true link was seen)."""
     all_rows = stored(usable(vectors).withColumn("vh", F.xxhash64("v")), "vectors")
     good = all_rows.where("v is not null").withColumn("vh", F.xxhash64("v"))
     nodes = stored(good.groupBy("vh").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumnRenamed("vh", "node"), "nodes")
-    n, recall = nodes.count(), 1.0
+    n, recall = nodes.count(), None
     if n:
+        pivots = pivots_of(nodes, n)
+        overlap = overlap_for(pivots, threshold, overlap)
         while True:
-            found = graph_links(nodes, n, threshold, overlap, beam)
+            whole = overlap > OVERLAP_MOST
+            found = all_links(nodes, threshold) if whole else graph_links(nodes, pivots, threshold, overlap, beam)
             links = found.groupBy("node").agg(F.sum("links").alias("links"))
             recall = audit(nodes, links, threshold)
-            if recall >= target or overlap >= 8:
+            if whole or recall is None or recall >= target:
                 break
-            overlap, beam = 2 * overlap, 2 * beam
+            overlap, beam = OVERLAP_MOST + 1 if overlap == OVERLAP_MOST else min(2 * overlap, OVERLAP_MOST), 2 * beam
         label = components(found, "node", "root", "balls")
         least = label.join(nodes, "node").groupBy("label").agg(F.min("rep").alias("component"))
         placed = nodes.join(links, "node", "left").join(label, "node", "left").join(least, "label", "left")
@@ -287,4 +375,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     placed = stored(placed, "placed-nodes")  # plain exchanges on both sides of the last join: a vector of very many copies is split
     out = all_rows.withColumn("node", F.when(F.col("v").isNotNull(), F.col("vh"))).drop("v", "vh").join(placed, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(recall).alias("recall"))
+    return out.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(recall).cast("double").alias("recall"))

@@ -85,3 +85,53 @@ def test_scaling_of_awkward_vectors(spark):
         alike = [found[i] for i in (1, None, 8, 9) if i in found]
         assert all(np.allclose(v, [0.6, 0.8], atol=1e-15) for v in alike)
         assert found[10] == [0.0, 0.0, -1.0] and found[11] == [1.0]
+
+
+def at_cosine(n, dim, cosine, seed):
+    """n pairs (x, y) with the given cosine, in directions of their own."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1)[:, None] * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1)[:, None]
+
+
+def test_overlap_grows_with_the_pivots():
+    found = []
+    for k in (100, 500, 2000):
+        pivots = at_cosine(k, 64, 0.95, k + 7)[0]
+        found.append(embedding.overlap_for(pivots, 0.95))
+        near = [np.argsort(-(v @ pivots.T), 1)[:, : found[-1]] for v in at_cosine(1000, 64, 0.95, 1)]
+        assert np.mean([bool(set(a) & set(b)) for a, b in zip(*near, strict=True)]) >= 0.95
+    assert 2 < found[0] <= found[1] <= found[2] <= embedding.OVERLAP_MOST
+
+
+def nodes_and_links(spark, rows, links):
+    nodes = spark.createDataFrame([(i, 1, v) for i, v in rows], "node long, copies long, v array<double>")
+    return nodes, spark.createDataFrame(links, "node long, links long")
+
+
+def test_audit_without_true_links_measures_nothing(spark):
+    rows = [(i, np.eye(80)[i].tolist()) for i in range(80)]
+    assert embedding.audit(*nodes_and_links(spark, rows, [(0, 0)]), 0.95) is None
+    assert {r["recall"] for r in run(spark, [(i, v) for i, v in rows]).collect()} == {None}
+
+
+def test_audit_sees_rare_links_and_not_only_a_large_group(spark):
+    x, y = at_cosine(20, 64, 0.97, 3)
+    ball = np.eye(64)[0] + 0.005 * np.random.default_rng(5).normal(size=(100, 64))
+    lone = at_cosine(1500, 64, 0.9, 6)[0]
+    every = np.concatenate([ball / np.linalg.norm(ball, axis=1)[:, None], x, y, lone])
+    nodes, links = nodes_and_links(spark, list(enumerate(every.tolist())), [(i, 99) for i in range(100)] + [(i, 1) for i in range(100, 110)])
+    assert abs(embedding.audit(nodes, links, 0.95) - 0.25) < 1e-9  # of 40 nodes in pairs, 10 have their link
+
+
+def test_all_pairs_where_the_index_falls_short(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "BLOCK", 64)
+    monkeypatch.setattr(embedding, "OVERLAP_MOST", 2)
+    monkeypatch.setattr(embedding, "graph_links", lambda nodes, *a: nodes.selectExpr("node", "0L AS links", "node AS root"))
+    rows = clouds(300) + [(1000, [1.0, 2.0]), (1001, [1.0, 2.01])]
+    out = run(spark, rows).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == brute(rows)
+    assert out[0]["recall"] == 1.0
