@@ -72,15 +72,13 @@ def class_probabilities(models: dict, wide: DataFrame, features: str, key: str,
     """Long table (key, class_id, prob); classes without a model have 0."""
     from pyspark.ml.functions import array_to_vector
 
-    out = wide.withColumn("__features", array_to_vector(F.col(features).cast("array<double>")))
-    parts = []
-    for c in classes:
+    out = wide.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("__features"))
+    made: dict = {}
+    for c in classes:  # all in one pass over the rows
+        made[c] = F.lit(0.0)
         if c in models:
-            scored = models[c].transform(out).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("prob"))
-        else:
-            scored = out.select(key, F.lit(0.0).alias("prob"))
-        parts.append(scored.withColumn("class_id", F.lit(c)))
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p)
-    return table.select(key, "class_id", "prob")
+            names = {"rawPredictionCol": f"__raw_{c}", "probabilityCol": f"__p_{c}", "predictionCol": f"__y_{c}"}
+            out = models[c].copy({models[c].getParam(k): v for k, v in names.items()}).transform(out).drop(names["rawPredictionCol"], names["predictionCol"])
+            made[c] = F.get(vector_to_array(f"__p_{c}"), F.lit(1))
+    rows = F.array(*(F.struct(F.lit(c).alias("class_id"), p.alias("prob")) for c, p in made.items()))
+    return out.select(key, F.explode(rows).alias("__r")).select(key, "__r.class_id", "__r.prob")

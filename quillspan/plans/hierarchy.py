@@ -153,6 +153,20 @@ def long_to_wide(spark, sf_dir):
     return readers.long_to_wide(long, "vec_id", [f"class_{i}" for i in range(1, 5)], value="prob", constant={"class_0": 1})
 
 
+@query(f"WITH {PROBS} SELECT vec_id, class_id, round(prob, 6) AS prob FROM probs")
+def wide_to_long_all(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    wide = e.select("vec_id", *(F.round(sigmoid(F.get("embedding", F.lit(i)).cast("double")), 6).alias(f"class_{i}") for i in reversed(range(CLASSES))))
+    columns = readers.class_columns(wide.columns, drop="")
+    return readers.wide_to_long(wide, ["vec_id"], columns, value="prob").withColumn("class_id", F.expr("cast(substring(class_id, 7) as long)"))
+
+
+@query("SELECT vec_id, 1 AS class_0, " + ", ".join(f"round(1 / (1 + exp(-(embedding[{i + 1}]::DOUBLE))), 6) AS class_{i}" for i in range(1, CLASSES)) + " FROM embeddings")
+def long_to_wide_all(spark, sf_dir):
+    long = probabilities(spark, sf_dir).where("class_id > 0").select("vec_id", F.concat(F.lit("class_"), F.col("class_id").cast("string")).alias("class_id"), F.round("prob", 6).alias("prob"))
+    return readers.long_to_wide(long, "vec_id", [f"class_{i}" for i in range(1, CLASSES)], value="prob", constant={"class_0": 1})
+
+
 @query("SELECT 'train' AS split, doc_id AS id, length(text) AS n FROM documents UNION ALL SELECT 'test', item_id, length(text) FROM benchmark")
 def union_split(spark, sf_dir):
     a = table(spark, sf_dir, "documents").select(F.lit("train").alias("split"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
@@ -161,11 +175,14 @@ def union_split(spark, sf_dir):
 
 @query()
 def gbt_per_class(spark, sf_dir):
-    """Boosters for two classes, their probabilities made consistent with the hierarchy."""
-    e = table(spark, sf_dir, "embeddings")
-    classes = ["class_1", "class_2"]
-    wide = e.select("vec_id", "embedding", *((F.col("label") == i).cast("int").alias(f"class_{i}") for i in (1, 2)))
-    fitted = models.gbt_per_class(wide, "embedding", classes, rounds=3, depth=2)
-    probs = models.class_probabilities(fitted, wide, "embedding", "vec_id", classes)
-    up = spark.createDataFrame([("class_2", "class_1")], "child string, parent string")
-    return dag.soft_propagate(probs, up, "vec_id")
+    """Boosters for all classes but the root, which is always 1; labels and probabilities are made consistent with the hierarchy."""
+    up = edges(spark)
+    above = dag.closure(up).groupBy(F.col("node").alias("label")).agg(F.collect_set("ancestor").alias("__above"))
+    e = table(spark, sf_dir, "embeddings").join(F.broadcast(above), "label", "left")
+    classes = [f"class_{i}" for i in range(1, CLASSES)]
+    wide = e.select("vec_id", "embedding", *(F.coalesce(F.array_contains("__above", F.lit(i).cast("long")), F.lit(False)).cast("int").alias(f"class_{i}") for i in range(1, CLASSES)))
+    fitted = models.gbt_per_class(wide, "embedding", classes)
+    probs = models.class_probabilities(fitted, wide, "embedding", "vec_id", classes).cache()  # each step of the closure reads it
+    named = up.select(*(F.concat(F.lit("class_"), F.col(c).cast("string")).alias(c) for c in ("child", "parent")))
+    root = wide.select("vec_id", F.lit("class_0").alias("class_id"), F.lit(1.0).alias("prob"))
+    return dag.soft_propagate(probs, named, "vec_id").unionByName(root)
