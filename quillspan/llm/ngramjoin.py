@@ -227,7 +227,8 @@ def _verified(rows: DataFrame, threshold: float, n: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that represent their class, a row each, with the columns of docs."""
-    kept = found.where("key = class_key and th = class_th").select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct()
-    rows = keyed(docs).join(kept, ["__key", "__th"], "left_semi")
-    return rows.dropDuplicates(["__key", "__th"]).select(*docs.columns)
+    """The rows of docs that represent their class, a row each, and all wordless rows, with the columns of docs."""
+    kept = found.where("key = class_key and th = class_th").groupBy(F.col("key").alias("__key"), F.col("th").alias("__th")).agg(F.max(F.col("n_grams") > 0).alias("__words"))
+    rows = keyed(docs).join(kept, ["__key", "__th"])
+    once = rows.where("__words").dropDuplicates(["__key", "__th"])
+    return once.unionByName(rows.where("not __words")).select(*docs.columns)

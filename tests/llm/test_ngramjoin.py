@@ -85,3 +85,10 @@ def test_one_of_each(spark):
 
 def test_empty(spark):
     assert ngramjoin.join(empty(spark)).count() == 0
+
+
+def test_wordless_rows_stay_apart(spark):
+    rows = [(None, None), (None, None), (None, "--"), (None, "--"), (7, None), (7, None), (None, "a b c"), (None, "a b c"), (3, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in ngramjoin.one_of_each(docs, ngramjoin.join(docs)).collect()]
+    assert sorted(kept, key=repr) == sorted([*rows[:6], (3, "a b c")], key=repr)
