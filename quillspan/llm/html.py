@@ -177,6 +177,9 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -194,7 +197,7 @@ def main_text(html: str | None) -> str:
             best = up
             break
         up = up.parent
-    kept = [best]
+    kept, marked = [best], best.tag in ("article", "main")
     if best.parent is not None and best.tag not in ("body", "html"):
         kept = []
         for k in best.parent.kids:
@@ -202,7 +205,8 @@ def main_text(html: str | None) -> str:
                 kept.append(k)
             elif isinstance(k, Node) and not k.cut and k.tag in BLOCK:
                 s = k.score * (1 - _density(k))
-                if s >= max(4.0, 0.2 * top) or (k.tag == "p" and k.size > 80 and _density(k) < 0.25):
+                short = not marked and k.tag == "p"  # without article or main, headings and short paragraphs may stand beside the container
+                if s >= max(4.0, 0.2 * top) or (k.tag == "p" and (short or k.size > 80) and _density(k) < 0.25) or (not marked and k.tag in HEADINGS):
                     kept.append(k)
     return "\n".join(_blocks(kept))
 

@@ -40,3 +40,8 @@ def test_odd_pages(spark):
     found = [r["text"] for r in html.extract(df, ["page_id"]).orderBy("page_id").collect()]
     assert found == ["", "", "plain text, no tags", "a", "<b> é &bogus;", "", "", "", "a < b", "deep", "deep"]
     assert html.extract(df.where("1 = 0"), ["page_id"]).count() == 0
+
+
+def test_headings_and_short_paragraphs_beside_a_div():
+    page = f"<body><h1>Title</h1><div class=content>{f'<p>{LONG}</p>' * 4}</div><p>Short close.</p><p><a href='/x'>More links</a></p><footer><h2>Cut</h2></footer></body>"
+    assert html.main_text(page).split("\n") == ["Title", LONG, LONG, LONG, LONG, "Short close."]
