@@ -10,9 +10,13 @@ Levels are built by aggregates: keys become bit positions, bit_or folds them int
 filter (BITS_PER_KEY bits for each key it holds) come to the driver. Filters are sent to executors in shards of at most
 MAX_BYTES; a larger list is split by key hash into several cascades that are applied one after the other.
 
+Each list (block keys, allow keys, hosts to block when no rule fits) has a cascade of its own, so what a cascade answers is
+the verdict; the lists are DataFrames and stay distributed.
+
 Defined cases: a null url or one without `://` has an empty host and path and no rule; urls that no rule fits get the
-verdict of the host list; equally long rules: the longer host wins; repeated urls and rules change nothing; extra columns
-are ignored; an empty list gives no rule anywhere.
+verdict of the host list; equally long rules: the longer host wins; a key listed for both verdicts blocks; null keys and
+other verdicts are ignored; repeated urls and rules change nothing; extra columns are ignored; an empty list gives no rule
+anywhere.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import discard, stored
@@ -143,41 +147,46 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade:
     return cascade
 
 
-def judge(pages: DataFrame, keep: list[str], rules: dict[str, str] | None = None, hosts: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+def default_lists(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The rules of the contract (key, verdict) and the hosts blocked when none fits (key)."""
+    return spark.createDataFrame(sorted(RULES.items()), "key string, verdict string"), spark.createDataFrame([(h,) for h in HOSTS], "key string")
+
+
+def cascades(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES) -> list[Cascade]:
+    """A cascade for each shard of the listed keys (by key hash), each of at most about max_bytes at its first level."""
+    n = listed.count()
+    shards = max(1, math.ceil(n * BITS_PER_KEY / 8 / max_bytes))
+    mine = lambda df, s: df.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s) if shards > 1 else df
+    return [build(mine(listed, s), mine(universe, s)) if n else Cascade() for s in range(shards)]
+
+
+def members(found: list[Cascade]) -> Column:
+    """Those of the column keys that the cascades hold."""
+    own = lambda s: F.expr(f"filter(keys, k -> pmod(xxhash64(k), {len(found)}) = {s})") if len(found) > 1 else F.col("keys")
+    return F.concat(*(_listed(c)(own(s)) for s, c in enumerate(found)))
+
+
+def judge(pages: DataFrame, keep: list[str], rules: DataFrame | None = None, hosts: DataFrame | None = None, max_bytes: int = MAX_BYTES, make=cascades) -> DataFrame:
     """The columns of keep with host, path, rule and verdict.
 
-    rules: host and path to verdict; hosts: blocked when no rule fits, listed with an empty path.
+    rules: key (host and path) and verdict, block or allow; hosts: key, blocked with its subdomains when no rule fits. There
+    is a cascade for the block keys, one for the allow keys and one for the hosts, and their answers alone give rule and
+    verdict: no list reaches an executor.
     """
     spark = pages.sparkSession
-    rules, hosts = RULES if rules is None else rules, HOSTS if hosts is None else hosts
-    # a rule's host ends at its first slash; a blocked host is listed by itself, under a mark that no rule has
-    keys = sorted({*rules, *hosts})
-    labels = max([1, *(k.partition("/")[0].count(".") + 1 for k in keys)])
-    lengths = sorted({len(k) - len(k.partition("/")[0]) for k in keys})
-    split = parts(pages, keep).withColumn("keys", candidates(labels, lengths))
+    rules = default_lists(spark)[0] if rules is None else rules
+    hosts = default_lists(spark)[1] if hosts is None else hosts
+    every = rules.select("key").unionByName(hosts.select("key")).where("key is not null")
+    host_part = F.substring_index("key", "/", 1)
+    # a rule's host ends at its first slash; a blocked host has an empty path
+    shape = every.agg(F.max(F.size(F.split(host_part, "[.]", -1))), F.collect_set(F.length("key") - F.length(host_part))).first()
+    split = parts(pages, keep).withColumn("keys", candidates(shape[0] or 1, sorted(shape[1])))
     universe = stored(split.select(F.explode("keys").alias("key")).distinct(), "universe")
-    shards = max(1, math.ceil(len(keys) * BITS_PER_KEY / 8 / max_bytes))
-    out = split.withColumn("listed", F.array().cast("array<string>"))
-    rows = spark.createDataFrame([(k,) for k in keys], "key string").join(universe, "key", "left_semi")
-    mine = lambda df, s: df.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s) if shards > 1 else df
-    for s in range(shards):
-        cascade = build(mine(rows, s), mine(universe, s))
-        own = F.expr(f"filter(keys, k -> pmod(xxhash64(k), {shards}) = {s})") if shards > 1 else F.col("keys")
-        out = out.withColumn("listed", F.concat("listed", _listed(cascade)(own)))
-    return _decide(out, keep, rules, hosts)
-
-
-def _decide(out: DataFrame, keep: list[str], rules: dict[str, str], hosts: list[str]) -> DataFrame:
-    """Longest rule first; the verdicts of listed keys come from a small dictionary for short lists, else a map by key."""
-
-    @F.pandas_udf("struct<rule:string,verdict:string>")
-    def decided(listed: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        blocked, rows = set(hosts), []
-        for found, order in zip(listed, keys, strict=True):
-            found = set(found)
-            rule = next((k for k in order if k in found and k in rules), None)
-            rows.append((rule, rules[rule] if rule is not None else "block" if found & blocked else "allow"))
-        return pd.DataFrame(rows, columns=["rule", "verdict"])
-
-    picked = out.withColumn("__d", decided("listed", "keys"))
-    return picked.select(*keep, "host", "path", "__d.rule", "__d.verdict")
+    out = split
+    for name, listed in (("blocked", rules.where("verdict = 'block'")), ("allowed", rules.where("verdict = 'allow'")), ("hosted", hosts)):
+        inside = listed.select("key").distinct().join(universe, "key", "left_semi")
+        out = out.withColumn(f"__{name}", members(make(inside, universe, max_bytes)))
+    # keys stand longest first; a key listed for both verdicts blocks
+    out = out.withColumn("rule", F.expr("try_element_at(filter(keys, k -> array_contains(__blocked, k) or array_contains(__allowed, k)), 1)"))
+    verdict = "case when rule is not null then if(array_contains(__blocked, rule), 'block', 'allow') when size(__hosted) > 0 then 'block' else 'allow' end"
+    return out.select(*keep, "host", "path", "rule", F.expr(verdict).alias("verdict"))

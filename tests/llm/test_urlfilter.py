@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 
 from quillspan.llm import urlfilter
@@ -19,10 +20,17 @@ def plain(url, rules, hosts):
     return host, path, rule, rules[rule] if rule else "block" if any(map(under, hosts)) else "allow"
 
 
-def check(spark, urls, rules, hosts, **options):
+def frames(spark, rules, hosts):
+    return spark.createDataFrame([*rules.items(), (None, "block")], "key string, verdict string"), spark.createDataFrame([(h,) for h in [*hosts, None]], "key string")
+
+
+def judged(spark, urls, rules, hosts, **options):
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    found = {r["page_id"]: tuple(r)[1:] for r in urlfilter.judge(pages, ["page_id"], rules, hosts, **options).collect()}
-    assert found == {i: plain(u, rules, hosts) for i, u in enumerate(urls)}
+    return {r["page_id"]: tuple(r)[1:] for r in urlfilter.judge(pages, ["page_id"], *frames(spark, rules, hosts), **options).collect()}
+
+
+def check(spark, urls, rules, hosts, **options):
+    assert judged(spark, urls, rules, hosts, **options) == {i: plain(u, rules, hosts) for i, u in enumerate(urls)}
 
 
 def test_contract_rules(spark):
@@ -48,3 +56,20 @@ def test_cascade_is_exact_on_its_universe(spark, monkeypatch):
     cascade = urlfilter.build(universe.where("cast(substring(key, 2) as int) < 300"), universe)
     assert len(cascade.levels) > 3
     assert cascade.member(pd.Series(keys)).tolist() == [i < 300 for i in range(2000)]
+
+
+def test_verdicts_come_from_the_cascades(spark):
+    """With cascades that take in every key, or none, rows change: nothing else knows the lists."""
+    everything, nothing = urlfilter.Cascade(), urlfilter.Cascade()
+    everything.levels = [(np.full(1, np.iinfo(np.uint64).max, np.uint64), 64)]
+    true = judged(spark, URLS, urlfilter.RULES, urlfilter.HOSTS)
+    loose = judged(spark, URLS, urlfilter.RULES, urlfilter.HOSTS, make=lambda *_: [everything])
+    deaf = judged(spark, URLS, urlfilter.RULES, urlfilter.HOSTS, make=lambda *_: [nothing])
+    assert {r[3] for r in loose.values() if r[0]} == {"block"} and loose != true
+    assert {(r[2], r[3]) for r in deaf.values()} == {(None, "allow")} and deaf != true
+
+
+def test_a_key_listed_twice_blocks(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.net/", "allow"), ("a.net/", "block"), ("a.net/x", "odd")], "key string, verdict string")
+    assert tuple(urlfilter.judge(pages, ["page_id"], rules).first()) == (1, "a.net", "/x", "a.net/", "block")
