@@ -1,25 +1,26 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-build_index() cuts the corpus into document-sharded segments and stores, for every segment, the posting lists of its
-tokens: sorted keys (term, position), positions counted over the segment with a gap between documents. search() takes
-the test windows and, segment by segment, starts from the posting list of each window's rarest term and intersects it
-with the offset-adjusted lists of its other terms, rarest first. slop=0 gives exact phrases; slop=s gives proximity
-matches, in which every term lies within s places of where the phrase has it. A segment holds at most SEGMENT_BYTES of
-text or one document, so memory doesn't grow with the corpus; nothing is shuffled by term, so common words make no hot
-task.
-
-Postings are stored for the terms of the test set only: no other list is ever read. Terms are 64-bit hashes of words
-(xxh3). Test windows are sent to executors in blocks of at most BLOCK_WORDS words, a bound that is counted first; a
-larger test set takes a pass for each block.
+build_index() cuts the corpus into document-sharded segments and stores, for every segment, the posting lists of all its
+words: sorted (term, position), positions counted over the segment with a gap between documents. It knows nothing of a
+test set, so one index serves every block of windows and every test set. search() takes the test windows and, segment by
+segment, starts from the posting list of each window's rarest term and intersects it with the offset-adjusted lists of its
+other terms, rarest first. Exact matches have every term at its place; proximity matches have an alignment of the window
+at which every term stands within `slop` words of its place. A segment holds at most SEGMENT_BYTES of text or one
+document, so memory doesn't grow with the corpus; nothing is shuffled by term, so common words make no hot task.
+
+Terms are 64-bit hashes of words (xxh3). The test set is streamed through the driver; windows go to the executors in
+blocks of at most BLOCK_WORDS words, counted as they are made (a longer item is split between windows), and every block
+is a pass over the stored index.
 
 Defined cases: null or wordless texts have no words and no hits; null or wordless items match nothing; rows with a null
 item_id mark their words but are not listed; repeated items or rows count once by item_id; every input row gives a row;
-extra columns are ignored.
+an item that a document holds exactly is not listed as a proximity match too; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,29 +33,53 @@ from quillspan.llm.common import stored, words_of
 
 WINDOW = 10
 SEGMENT_BYTES = 8 << 20
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 250_000
+SLOP = 2
 GAP = 64
 
-MATCH = "doc_id long, key long, n_words long, hits array<int>, items array<string>, near_items array<string>"
+MATCH = "seg string, place int, doc_id long, key long, n_words long, hits array<int>, items array<string>, near_items array<string>"
 
 
 def term(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) & 0x7FFFFFFFFFFFFFFF
 
 
-def test_windows(rows: list, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list]:
-    """(terms[w, width] padded with -1, item index of each window, item ids as strings or None)."""
-    terms, owner, ids = [], [], []
-    for item_id, text in rows:
-        words = [term(w) for w in words_of(text)]
-        if not words:
-            continue
-        ids.append(None if item_id is None else str(item_id))
-        for i in range(max(1, len(words) - width + 1)):
-            win = words[i : i + width]
-            terms.append(win + [-1] * (width - len(win)))
-            owner.append(len(ids) - 1)
-    return np.array(terms, np.int64).reshape(len(terms), width), np.array(owner, np.int64), ids
+class Block:
+    """Items of a test set, or parts of long ones: their ids and their terms, one after the other."""
+
+    def __init__(self, width: int = WINDOW):
+        self.width, self.ids, self.parts = width, [], []
+        self.words = 0
+
+    def add(self, item_id: str | None, terms: np.ndarray) -> None:
+        self.ids.append(item_id), self.parts.append(terms)
+        self.words += len(terms)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(terms[w, width] padded with -1, item index of each window)."""
+        made = [np.full((0, self.width), -1, np.int64)]
+        for t in self.parts:
+            if len(t) < self.width:
+                made.append(np.append(t, np.full(self.width - len(t), -1, np.int64))[None])
+            else:
+                made.append(np.lib.stride_tricks.sliding_window_view(t, self.width))
+        return np.concatenate(made), np.repeat(np.arange(len(self.parts)), [len(m) for m in made[1:]])
+
+
+def blocks_of(items: Iterator[tuple], width: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+    """Blocks of (item_id, text) rows; at most block_words words each, and windows aren't lost where an item is split."""
+    block = Block(width)
+    for item_id, text in items:
+        terms = np.array([term(w) for w in words_of(text)], np.int64)
+        step = max(1, block_words - width + 1)  # windows of a part
+        for lo in range(0, max(1, len(terms) - width + 1) if len(terms) else 0, step):
+            part = terms[lo : lo + step + width - 1]
+            if block.words and block.words + len(part) > block_words:
+                yield block
+                block = Block(width)
+            block.add(item_id, part)
+    if block.words:
+        yield block
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
@@ -71,60 +96,49 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, l
         yield ids, keys, texts
 
 
-INDEX = "doc_ids array<long>, keys array<long>, starts array<int>, n_words array<int>, terms binary, offsets binary, positions binary"
+INDEX = "seg string, doc_ids array<long>, keys array<long>, starts array<int>, n_words array<int>, terms binary, offsets binary, positions binary"
 
 
-def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """The stored index: a row per segment with its documents and the posting lists of the given terms (sorted)."""
-    known = np.unique(terms[terms >= 0])
+class _Codes(dict):
+    """Word to a number, in the order of their coming."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The index: a row per segment with its documents, its terms (sorted) and the posting list of each."""
 
     def build(batches):
-        vocab = None
         for ids, keys, texts in _segments(batches):
-            if vocab is None:
-                vocab = _Vocabulary(known)
-            starts, counts, at, terms_, pos_ = [], [], 0, [], []
+            codes, parts, starts, counts, at = _Codes(), [], [], [], 0
             for text in texts:
                 words = words_of(text)
                 starts.append(at), counts.append(len(words))
-                if words:
-                    t = np.fromiter(map(vocab.__getitem__, words), np.int64, len(words))
-                    kept = np.flatnonzero(t >= 0)
-                    terms_.append(t[kept]), pos_.append((kept + at).astype(np.int32))
+                parts.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
                 at += len(words) + GAP
-            t = np.concatenate(terms_) if terms_ else np.empty(0, np.int64)
-            p = np.concatenate(pos_) if pos_ else np.empty(0, np.int32)
-            order = np.argsort(t, kind="stable")  # positions already ascend
-            t, p = t[order], p[order]
-            cut = np.flatnonzero(np.diff(t, prepend=-2)) if len(t) else np.empty(0, np.int64)
-            one = [[ids], [keys], [starts], [counts], [known[t[cut]].tobytes()], [np.append(cut, len(t)).astype(np.int32).tobytes()], [p.tobytes()]]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-            names = ["doc_ids", "keys", "starts", "n_words", "terms", "offsets", "positions"]
+            code = np.concatenate(parts)
+            place = np.arange(len(code), dtype=np.int64) + np.repeat(np.array(starts) - (np.cumsum(counts) - counts), counts)
+            terms = np.fromiter(map(term, codes), np.int64, len(codes))
+            terms, own = np.unique(terms, return_inverse=True)
+            code = own[code] if len(code) else code
+            order = np.argsort(code.astype(np.uint32), kind="stable")  # places already ascend within a term
+            offsets = np.append(0, np.cumsum(np.bincount(code, minlength=len(terms)))).astype(np.int32)
+            one = [[uuid.uuid4().hex], [ids], [keys], [starts], [counts], [terms.tobytes()], [offsets.tobytes()], [place[order].astype(np.int32).tobytes()]]
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+            names = ["seg", "doc_ids", "keys", "starts", "n_words", "terms", "offsets", "positions"]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(one, kinds, strict=True)], names)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     return picked.mapInArrow(build, INDEX)
 
 
-class _Vocabulary(dict):
-    """Word to its place among the known terms, -1 if none; a word is hashed once, and rare words don't pile up."""
-
-    def __init__(self, known: np.ndarray):
-        super().__init__()
-        self.places = {int(t): i for i, t in enumerate(known)}
-
-    def __missing__(self, word: bytes) -> int:
-        place = self.places.get(term(word), -1)
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = place
-        return place
-
-
 def intersect(keys: np.ndarray, counts: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences (window, start) by intersecting offset-adjusted lists, the rarest term's first.
 
-    keys: sorted place << 32 | position; counts: list length by place; places[w, width]: terms' places, -1 padding.
+    keys: sorted place << 32 | position; counts: list length by place; places[w, width]: terms' places, -1 padding. With a
+    slop, start is where the rarest term puts the window, and every other term stands within slop of its place from there.
     """
     width = places.shape[1]
     real = places >= 0
@@ -142,98 +156,115 @@ def intersect(keys: np.ndarray, counts: np.ndarray, places: np.ndarray, slop: in
         if not len(who):
             break
         off = order[who, step]
-        t = places[alive[who], off]
-        lo = (t << 32) + np.maximum(start + off - slop, 0)
-        at = np.minimum(np.searchsorted(keys, lo), len(keys) - 1)
-        ok = (t < 0) | ((keys[at] >= lo) & (keys[at] <= (t << 32) + start + off + slop))
+        ok = _stands(keys, places[alive[who], off], start + off, slop)
         who, start = who[ok], start[ok]
     return alive[who], start
 
 
-def search(index: DataFrame, windows: np.ndarray, owner: np.ndarray, ids: list, slop: int | None = None) -> DataFrame:
+def _stands(keys: np.ndarray, t: np.ndarray, at: np.ndarray, slop: int) -> np.ndarray:
+    """Whether term t stands within slop of `at`; true for padding."""
+    lo = (t << 32) + np.maximum(at - slop, 0)
+    i = np.minimum(np.searchsorted(keys, lo), len(keys) - 1)
+    return (t < 0) | ((keys[i] >= lo) & (keys[i] <= (t << 32) + at + slop))
+
+
+def matches(keys: np.ndarray, counts: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, start, exact): exact occurrences, and alignments at which every term stands within slop of its place.
+
+    Two terms within slop of their places at one alignment are within 2 * slop of each other's, so the lists are
+    intersected with that first; all alignments of what is left are then tried.
+    """
+    who, start = intersect(keys, counts, places, 2 * slop)
+    exact = np.ones(len(who), bool)
+    for off in range(places.shape[1]):
+        exact[exact] = _stands(keys, places[who[exact], off], start[exact] + off, 0)
+    found = [(who[exact], start[exact], exact[exact])]
+    for shift in range(-slop, slop + 1) if slop else ():
+        w, a = who, start + shift
+        for off in range(places.shape[1]):
+            ok = _stands(keys, places[w, off], a + off, slop)
+            w, a = w[ok], a[ok]
+        found.append((w, a, np.zeros(len(w), bool)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def search(index: DataFrame, block: Block, slop: int = SLOP) -> DataFrame:
     """For each indexed document: hit word positions, items with exact windows, items with proximity matches only."""
-    known = np.unique(windows[windows >= 0])
-    lengths = (windows >= 0).sum(1)
+    ids = block.ids
 
     def run(batches):
-        if len(known):
-            places = np.where(windows >= 0, np.searchsorted(known, np.maximum(windows, 0)).clip(0, len(known) - 1), -1)
+        windows, owner = block.windows()
+        lengths = (windows >= 0).sum(1)
+        known, inverse = np.unique(windows, return_inverse=True)  # the padding, if any, comes first
+        inverse = inverse.reshape(windows.shape) - int(len(known) > 0 and known[0] < 0)
+        known = known[known >= 0]
+        places = np.where(windows >= 0, inverse, -1)
         for batch in batches:
             for row in batch.to_pylist():
                 starts, n_words = np.array(row["starts"], np.int64), np.array(row["n_words"], np.int64)
-                here, off = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["offsets"], np.int32)
-                pos = np.frombuffer(row["positions"], np.int32)
+                here, off = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["offsets"], np.int32).astype(np.int64)
                 hits: dict[int, np.ndarray] = {}
                 items: dict[int, set] = {}
                 near: dict[int, set] = {}
                 if len(here) and len(known):
-                    place = np.searchsorted(known, here)
+                    at = np.searchsorted(here, known).clip(0, len(here) - 1)
+                    mine = np.flatnonzero(here[at] == known)  # the lists that are read
                     counts = np.zeros(len(known), np.int64)
-                    counts[place] = np.diff(off)
-                    keys = (np.repeat(place, np.diff(off)) << 32) | pos
-                    who, start = intersect(keys, counts, places, 0)
-                    if len(who):
-                        cover = np.zeros(int(starts[-1] + n_words[-1]) + GAP + 1, np.int32)
-                        np.add.at(cover, start, 1)
-                        np.add.at(cover, start + lengths[who], -1)
-                        spots = np.flatnonzero(np.cumsum(cover) > 0)
-                        doc = np.searchsorted(starts, spots, "right") - 1
-                        for d in np.unique(doc):
-                            hits[int(d)] = (spots[doc == d] - starts[d]).astype(np.int32)
-                        self_add(items, np.searchsorted(starts, start, "right") - 1, owner[who])
-                    if slop:
-                        who, start = intersect(keys, counts, places, slop)
-                        inside = start >= 0
-                        who, start = who[inside], start[inside]
-                        d = np.searchsorted(starts, start, "right") - 1
-                        ok = start < (starts + n_words)[d]
-                        self_add(near, d[ok], owner[who][ok])
+                    counts[mine] = n = (off[1:] - off[:-1])[at[mine]]
+                    idx = np.repeat(off[at[mine]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    keys = (np.repeat(mine, n) << 32) | np.frombuffer(row["positions"], np.int32)[idx]
+                    if len(keys):
+                        who, start, exact = matches(keys, counts, places, slop)
+                        doc = np.searchsorted(starts - slop, start, "right") - 1
+                        w, a = who[exact], start[exact]
+                        if len(w):
+                            cover = np.zeros(int(starts[-1] + n_words[-1]) + GAP + 1, np.int32)
+                            np.add.at(cover, a, 1)
+                            np.add.at(cover, a + lengths[w], -1)
+                            spots = np.flatnonzero(np.cumsum(cover) > 0)
+                            of = np.searchsorted(starts, spots, "right") - 1
+                            for d in np.unique(of):
+                                hits[int(d)] = (spots[of == d] - starts[d]).astype(np.int32)
+                            add_pairs(items, doc[exact], owner[w])
+                        add_pairs(near, doc[~exact], owner[who[~exact]])
                 many = range(len(starts))
-                names = [sorted({ids[i] for i in items.get(d, ()) if ids[i] is not None}) for d in many]
-                close = [sorted({ids[i] for i in near.get(d, set()) - items.get(d, set()) if ids[i] is not None}) for d in many]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(n_words), pa.array([hits.get(d, np.empty(0, np.int32)) for d in many], pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(close, pa.list_(pa.string()))],
-                    ["doc_id", "key", "n_words", "hits", "items", "near_items"],
-                )
+                named = [{ids[i] for i in items.get(d, ()) if ids[i] is not None} for d in many]
+                close = [sorted({ids[i] for i in near.get(d, ()) if ids[i] is not None} - named[d]) for d in many]
+                columns = [[row["seg"]] * len(many), many, row["doc_ids"], row["keys"], n_words, [hits.get(d, np.empty(0, np.int32)) for d in many], [sorted(x) for x in named], close]
+                types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in MATCH.split(", ")])
 
     return index.mapInArrow(run, MATCH)
 
 
-def self_add(into: dict[int, set], docs: np.ndarray, owners: np.ndarray) -> None:
+def add_pairs(into: dict[int, set], docs: np.ndarray, owners: np.ndarray) -> None:
     if len(docs):
         for d, o in np.unique(np.stack([docs, owners], 1), axis=0).tolist():
             into.setdefault(d, set()).add(o)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int | None = 2, block_words: int = BLOCK_WORDS, keep_key: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS, keep_key: bool = False) -> DataFrame:
     """Per document row: doc_id, n_words, hits (word positions inside exact windows), items, near_items; key: hash of the text."""
+    out = ["doc_id", *["key"] * keep_key, "n_words", "hits", "items", "near_items"]
+    index = stored(build_index(docs), "postings")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    letters = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-letters // (4 * block_words)))  # a word and what divides it take 4 letters or so; counted again below
-    parts = []
-    for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        windows, owner, ids = test_windows([tuple(r) for r in mine.toLocalIterator()], width)
-        index = build_index(docs, windows)
-        parts.append(search(stored(index, "postings"), windows, owner, ids, slop))
-    if blocks == 1:
-        return parts[0] if keep_key else parts[0].drop("key")
-    every = parts[0].select("*")
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    joined = every.groupBy("doc_id", "key").agg(
-        F.first("n_words").alias("n_words"), (F.count(F.lit(1)) / blocks).cast("int").alias("n"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("near_items")))).alias("near_items"),
-    )
-    return joined.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).select("doc_id", *["key"] * keep_key, "n_words", "hits", "items", F.array_except("near_items", "items").alias("near_items"))
+    rows = (tuple(r) for r in items.toLocalIterator())
+    found = [search(index, block, slop) for block in blocks_of(rows, width, block_words)] or [search(index, Block(width), slop)]
+    if len(found) == 1:
+        return found[0].select(*out)
+    every = None
+    for part in found:  # each block's findings are a table, so its pass over the index is a job of its own
+        part = stored(part, "found")
+        every = part if every is None else every.unionByName(part)
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    joined = every.groupBy("seg", "place").agg(*(F.first(c).alias(c) for c in ("doc_id", "key", "n_words")), *map(merged, ("hits", "items", "near_items")))
+    return joined.withColumn("near_items", F.array_except("near_items", "items")).select(*out)
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"),
     )
 
 
@@ -256,3 +287,24 @@ def brute_force(docs: list, items: list, width: int = WINDOW) -> list[tuple]:
         names = sorted(str(x) for x in got if x is not None)
         out.append((doc_id, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def brute_near(docs: list, items: list, width: int = WINDOW, slop: int = SLOP) -> list[int]:
+    """The number of items each document holds in proximity but not exactly, restated on small lists, for tests."""
+    out = []
+    for _, text in docs:
+        places: dict[bytes, set] = {}
+        for i, w in enumerate(words := words_of(text)):
+            places.setdefault(w, set()).add(i)
+        exact, near = set(), set()
+        for item_id, item in items:
+            w = words_of(item)
+            for i in range(max(1, len(w) - width + 1) if w and item_id is not None else 0):
+                win = w[i : i + width]
+                for a in range(-slop, len(words) + slop):
+                    if all(any(p in places.get(x, ()) for p in range(a + k - slop, a + k + slop + 1)) for k, x in enumerate(win)):
+                        near.add(item_id)
+                        if all(a + k in places[x] for k, x in enumerate(win)):
+                            exact.add(item_id)
+        out.append(len(near - exact))
+    return out

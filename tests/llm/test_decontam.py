@@ -33,9 +33,43 @@ def test_same_as_brute_force(spark):
     assert any(r[5] for r in found)
 
 
+def shuffled(spark):
+    """Documents of few words, items that are pieces of them with words moved, left out and put in."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(41, None), (42, "a")]
+    items = []
+    for i in range(25):
+        w = (docs[i][1] or "").split()[3:16]
+        for _ in range(i % 4):
+            if len(w) > 2:
+                k = rng.randrange(len(w) - 1)
+                w[k], w[k + 1] = w[k + 1], w[k]
+        items.append((i % 20, " ".join(w)))
+    items += [(None, docs[3][1]), (70, "a"), (71, "b l")]
+    return docs, items
+
+
+def test_proximity_same_as_brute_force(spark):
+    docs, items = shuffled(spark)
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    true = dict(zip((d for d, _ in docs), decontam.brute_near(docs, items), strict=True))
+    assert sum(true.values()) > 20
+    for block_words in (decontam.BLOCK_WORDS, 12):
+        found = decontam.decontaminate(*tables, block_words=block_words)
+        assert {r["doc_id"]: len(r["near_items"]) for r in found.collect()} == true
+
+
+def test_blocks_are_bounded_and_lose_no_window():
+    items = [("1", " ".join(f"w{i}" for i in range(50))), ("2", "a b"), ("3", None), ("4", "!"), ("5", "c " * 11)]
+    whole = {(b.ids[o], tuple(w)) for b in decontam.blocks_of(items) for w, o in zip(*b.windows(), strict=True)}
+    few = list(decontam.blocks_of(items, block_words=15))
+    assert len(few) > 5 and all(b.words <= 15 for b in few)
+    assert {(b.ids[o], tuple(w)) for b in few for w, o in zip(*b.windows(), strict=True)} == whole
+
+
 def test_blocks_give_the_same(spark):
     docs, items = planted(spark)
-    assert digest(docs, items, block_words=100) == expected(docs, items)
+    assert digest(docs, items, block_words=60) == expected(docs, items)
 
 
 def test_small_segments_give_the_same(spark, monkeypatch):
