@@ -98,7 +98,7 @@ FROM m WHERE rn = 1
 ORACLES["op1_decontamination"] = """
 WITH i AS (SELECT item_id, {item} AS w FROM benchmark WHERE text IS NOT NULL),
 wins AS (
-  SELECT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS win
+  SELECT item_id, k AS win_id, least(10, len(w)) AS n, w[k:k + 9] AS ws, array_to_string(w[k:k + 9], ' ') AS win
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)
 ), d AS (SELECT doc_id, {text} AS w FROM documents),
 dw AS (
@@ -106,8 +106,16 @@ dw AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)
 ), hit AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN wins ON dw.n = wins.n AND dw.win = wins.win),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id),
+wt AS (SELECT item_id, win_id, n, unnest(ws) AS t, unnest(range(0, n)) AS o FROM wins WHERE item_id IS NOT NULL),
+dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM d),
+near AS (
+  SELECT DISTINCT doc_id, item_id FROM (
+    SELECT doc_id, item_id, win_id, n, p - o + s AS a, bit_or((1 << o)::INTEGER) AS m
+    FROM dt JOIN wt USING (t), (SELECT unnest(range(-2, 3)) AS s) GROUP BY ALL
+  ) WHERE m = (1 << n) - 1
+), close AS (SELECT doc_id, count(*) AS n_near FROM (SELECT * FROM near EXCEPT SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT doc_id, len(coalesce(w, []))::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN close USING (doc_id)
 """.format(item=_WORDS.format("text"), text=_WORDS.format("text"))
