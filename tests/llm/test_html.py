@@ -1,3 +1,5 @@
+import time
+
 from quillspan.llm import html
 
 LONG = "The river ran past the old stone house, and nobody knew, not even the miller, where it came from."
@@ -45,3 +47,38 @@ def test_odd_pages(spark):
 def test_headings_and_short_paragraphs_beside_a_div():
     page = f"<body><h1>Title</h1><div class=content>{f'<p>{LONG}</p>' * 4}</div><p>Short close.</p><p><a href='/x'>More links</a></p><footer><h2>Cut</h2></footer></body>"
     assert html.main_text(page).split("\n") == ["Title", LONG, LONG, LONG, LONG, "Short close."]
+
+
+def test_only_whole_names_mark():
+    def page(inner, article="article"):
+        return f"<body><{article}>{inner}<p>{LONG}</p><p>{LONG}</p></{article}></body>"
+
+    body = f"{LONG}\n{LONG}"
+    assert html.main_text(f'<body><div class="layout has-sidebar"><div><p>{LONG}</p><p>{LONG}</p></div></div></body>') == body
+    assert html.main_text(page('<div class="article-header"><h1>Title</h1></div>', "main")) == f"Title\n{body}"
+    assert html.main_text(page('<div class="page-header"><h1>Title</h1></div>')) == f"Title\n{body}"
+    assert html.main_text(page('<h2 id="related-work">Related work</h2><h3 id="comments">Comments</h3>')) == f"Related work\nComments\n{body}"
+    assert html.main_text(page('<div id="notice-of-motion"><p>Moved.</p></div>')) == f"Moved.\n{body}"
+    for name in ("comments", "comment-list", "post-comments", "ad-slot", "cookie_notice", "sidebar-left", "relatedPosts", "share-buttons", "newsletter-signup-form", "ad-17"):
+        assert html.main_text(page(f'<div class="x {name}"><p>Not this, {LONG}</p></div>')) == body, name
+
+
+def test_marked_elements_around_the_article_stay():
+    assert html.main_text(f'<div class="modal-content"><article><p>{LONG}</p></article></div>') == LONG
+    assert html.main_text(f'<body><div class="widget"><p>{LONG}</p><p>{LONG}</p></div><p>Hi.</p></body>').startswith(LONG)
+    assert html.main_text(f'<article><p>{LONG}</p></article><div class="comments">{f"<p>{LONG} I say.</p>" * 30}</div>') == LONG
+
+
+def test_quotes():
+    assert html.main_text(f"<p title=it's>{LONG}</p><p>It's so.</p>") == f"{LONG}\nIt's so."
+    assert html.main_text(f'<p title="a > b">{LONG}</p>') == LONG
+    assert html.main_text(f'<p title="never closed>{LONG}</p>') == LONG
+
+
+def test_hostile_pages_take_linear_time():
+    begun = time.time()
+    for piece in ('<a "x ', '<a b="> ', "<a b='>\" ", "<", "<a", "</", "<!", "<!--", "&", "&amp", "<p ", "<p a=", "<p>", "<b>", "</b>", "<li>", "<td>", "<i><div>", "x<br>", "<script>", "<p>a, b</i>"):
+        html.main_text(piece * ((1 << 20) // len(piece)))
+    for head, tail in (("<b>", "</i>"), ("<i><div>" + "<b>" * 1000, "</i>"), ("<ul>" + "<b>" * 1000, "<li>"), ("<article>", "<header>"), ("<div>", "<p>x, y")):
+        html.main_text(head * 20_000 + tail * 40_000)
+    assert time.time() - begun < 60
