@@ -27,6 +27,12 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+def without(keep: list[str], added: list[str]) -> list[str]:
+    """The columns to keep: those that bear the name of an added column (in any case) give way to it."""
+    taken = {a.lower() for a in added}
+    return [c for c in keep if c.lower() not in taken]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -1,123 +1,149 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of the words it holds; the document's is the
-noisy-or of its sentences' scores, 1 - prod(1 - p). Words whose document frequency hardly differs between the labels are
-screened out; the others' weights are trained from document labels alone, by full-batch gradient
-steps on the noisy-or likelihood with an L1 proximal step, then the sentence scores locate offending sentences.
+A document is a bag of sentences. A sentence's score is a logistic function of its distinct words, each of which weighs as
+much as itself and its beginnings (of STARTS characters, so that unseen words of a known stem count) together; the
+document's score is the noisy-or of its sentences' scores, 1 - prod(1 - p). The weights are trained from document labels
+alone, by full-batch gradient steps on the noisy-or likelihood with an L1 proximal step, then the sentence scores locate
+offending sentences.
 
-The classifier is fitted on at most about FIT_ROWS labelled whole documents (a documented bound; rows are taken by a hash
-of doc_id and text), in one task of bounded size. Everything else reads every row, whole texts.
+The classifier is fitted on a bounded sample of the labelled rows (rows are taken by a hash of doc_id and text): about
+FIT_ROWS whole documents and FIT_CHARS characters, and none of more than FIT_CHARS / 64 characters; so it takes one task
+of bounded size. Features of fewer than MIN_DOCS of the sample's documents have no weight. Everything else reads every
+row, whole texts.
 
 Defined cases: null and empty texts have no sentence and take the score 0; without a label to learn from every score is 0;
-a null doc_id is neither learned from nor held out; repeated label rows count as often as they stand; extra columns are
-ignored.
+a null doc_id is neither learned from nor held out; repeated label rows count as often as they stand; a kept column with
+the name of an added one gives way; other extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import FOLD
+from quillspan.llm.common import FOLD, without
 from quillspan.llm.langid import fold
 
 FIT_ROWS = 12_000
+FIT_CHARS = 128 << 20
 BITS = 18
 MIN_DOCS = 4
-#: Words that differ less between the labels take no weight.
-LEAST_Z = 2.5
+STARTS = (3, 5, 7)
 ROUNDS = 150
 RATE = 0.15
 L1 = 2e-4
 START = -9.0
 OUT = ("double", "int", "array<struct<start:int,stop:int,score:double>>")
 
+_SPLIT = bytes(0x0A if c in b".!?\n" else FOLD[c] for c in range(256))
+_sentence = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*[.!?]*")
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, stop) of the sentences of a whole text: they end at . ! ? or a line end; those without text are left out."""
-    import re
+    return [(m.start(), m.end()) for m in _sentence.finditer(text or "")]
 
-    return [(m.start(), m.end()) for m in re.finditer(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*[.!?]*", text or "")]
 
+def features(word: bytes) -> list[int]:
+    """The bins of a word and of its beginnings."""
+    read = word.decode("utf-8", "replace")
+    starts = [f"\x00{read[:k]}".encode("utf-8", "replace") for k in STARTS if len(read) > k]
+    return [xxhash.xxh3_64_intdigest(x) >> (64 - BITS) for x in (word, *starts)]
 
-class Bins(dict):
-    """Word to its bin; emptied when it grows large."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = b = xxhash.xxh3_64_intdigest(word) >> (64 - BITS)
-        return b
-
-
-_SPLIT = bytes(0x0A if c in b".!?\n" else FOLD[c] for c in range(256))
+def bag(text: str | None) -> list[set[bytes]]:
+    """The distinct words of each sentence; a sentence here is a stretch with at least a word."""
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(_SPLIT).split(b"\n")
+    return [set(words) for part in parts if (words := part.split())]
 
 
-def bag(text: str | None, bins: Bins) -> tuple[np.ndarray, np.ndarray, int]:
-    """Word bins, the sentence of each, the number of sentences; a sentence here is a stretch with at least a word."""
-    b, s, n = [], [], 0
-    for part in (text or "").encode("utf-8", "surrogatepass").translate(_SPLIT).split(b"\n"):
-        if words := part.split():
-            b += map(bins.__getitem__, words)
-            s += [n] * len(words)
-            n += 1
-    return np.array(b, np.int64), np.array(s, np.int64), n
+class Weights(dict):
+    """Word to the sum of its features' weights; emptied when it grows large."""
 
+    def __init__(self, w: np.ndarray):
+        super().__init__()
+        self.w = w
 
-def _screened(d: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The bins in at least MIN_DOCS documents whose document frequency differs between the labels by LEAST_Z deviations."""
-    pair = np.unique((d << BITS) | b)
-    doc, bin_ = pair >> BITS, pair & ((1 << BITS) - 1)
-    n, pos = np.bincount(bin_, minlength=1 << BITS), np.bincount(bin_, y[doc], 1 << BITS)
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    p = n / len(y)
-    z = (pos / n1 - (n - pos) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return (n >= MIN_DOCS) & (np.abs(z) >= LEAST_Z)
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = s = float(self.w[features(word)].sum())
+        return s
+
+
+def noisy_or(bags: list[set[bytes]], weights: Weights, bias: float) -> float:
+    """1 - prod(1 - p) over the sentences, 0 without any."""
+    if not bags:
+        return 0.0
+    z = np.array([sum(map(weights.__getitem__, sorted(words))) for words in bags]) + bias
+    return float(-np.expm1(-np.logaddexp(0, z).sum()))
+
+
+def instances(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sentence and the bin of every feature, and the document of every sentence."""
+    number: dict[bytes, int] = {}
+    of_word: list[list[int]] = []
+    s, w, d = [], [], []
+    for i, text in enumerate(texts):
+        for words in bag(text):
+            for word in sorted(words):
+                if word not in number:
+                    number[word] = len(of_word)
+                    of_word.append(features(word))
+                w.append(number[word])
+            s.append(len(words))
+            d.append(i)
+    size = np.array([len(f) for f in of_word], np.int64)
+    flat, begin = np.array([b for f in of_word for b in f], np.int64), np.cumsum(size) - size
+    word = np.array(w, np.int64)
+    n = size[word] if len(word) else word
+    at = np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(word) else word
+    return np.repeat(np.repeat(np.arange(len(d)), s), n), flat[at] if len(word) else word, np.array(d, np.int64)
 
 
 def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     """Weights of the bins and the intercept."""
-    bins, b, s, d, n = Bins(), [], [], [], 0
-    for i, t in enumerate(texts):
-        bi, si, k = bag(t, bins)
-        b.append(bi), s.append(si + n), d.append(np.full(k, i))
-        n += k
-    w = np.zeros(1 << BITS)
-    if not n or not any(labels):
-        return w, START * 10
-    b, s, d, y = np.concatenate(b), np.concatenate(s), np.concatenate(d), np.array(labels, float)
-    pair = np.unique((s << BITS) | b)  # a word counts once in a sentence
-    s, b = pair >> BITS, pair & ((1 << BITS) - 1)
-    s, b = s[(kept := _screened(d[s], b, y))[b]], b[kept[b]]
+    full, y = np.zeros(1 << BITS), np.array(labels, float)
+    s, b, d = instances(texts)
+    if not len(d) or not any(labels):
+        return full, START * 10
+    n = len(d)
+    seen = np.bincount(np.unique((d[s] << BITS) | b) & ((1 << BITS) - 1), minlength=1 << BITS)
+    used = np.flatnonzero(seen >= MIN_DOCS)
+    code = np.full(1 << BITS, -1)
+    code[used] = np.arange(len(used))
+    s, b = s[code[b] >= 0], code[b[code[b] >= 0]]
+    w = np.zeros(len(used))
     bias, m, v, mb, vb = START, np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
         z = np.bincount(s, w[b], n) + bias
         log_not = -np.logaddexp(0, z)  # log(1 - p) of a sentence
-        total = np.bincount(d, log_not, len(y))
-        clean = np.exp(np.minimum(total, -1e-9))
+        clean = np.exp(np.minimum(np.bincount(d, log_not, len(y)), -1e-9))
         p = 1 / (1 + np.exp(-z))
         # d loss / d z: p for clean bags, -p * q / (1 - q) for toxic ones, q the bag's clean probability
         g = p * np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)[d] / len(y)
-        grad, gb = np.bincount(b, g[s], 1 << BITS), g.sum()
+        grad, gb = np.bincount(b, g[s], len(used)), g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         step = RATE / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w = w - step * m / (1 - 0.9**t)
         w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(step, 1e3) * L1, 0)
         bias -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return w, bias
+    full[used] = w
+    return full, float(bias)
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
     """labelled: (doc_id, text, toxic)."""
-    usable = labelled.where("text is not null and toxic is not null").select("doc_id", "text", "toxic")
-    n = usable.count()
+    usable = labelled.where("text is not null and toxic is not null").select("doc_id", "text", "toxic").where(F.length("text") <= FIT_CHARS // 64)
+    n, chars = usable.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.where(part < fit_rows / max(n, 1)).select("text", "toxic").repartition(1)
+    sample = usable.where(part < min(fit_rows / max(n, 1), FIT_CHARS / max(chars or 0, 1))).select("text", "toxic").repartition(1)
 
     def run(batches):
         texts, labels = [], []
@@ -135,47 +161,37 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, floa
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], locate: float | None = None, prefix: str = "") -> DataFrame:
     """The columns of keep with score and n_sentences, under names with the prefix; locate: also the sentences that score as much, with character offsets."""
     w, bias = model
+    added = [f"{prefix}{c}" for c in ("score", "n_sentences", "sentences")]
+    keep = without(keep, added)
     picked = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
 
     def run(batches):
-        bins = Bins()
-
-        def one(words):
-            return float(w[np.unique(words)].sum()) + bias
-
+        weights = Weights(w)
         for batch in batches:
             out, counts, spans = [], [], []
             for text in batch.column(len(keep)):
                 text = text.as_py()
-                b, s, n = bag(text, bins)
-                z = np.zeros(n)
-                if n:
-                    hot = np.flatnonzero(w[b])  # most words have no weight
-                    pair = np.unique((s[hot] << BITS) | b[hot])
-                    z = np.bincount(pair >> BITS, w[pair & ((1 << BITS) - 1)], n) + bias
-                out.append(float(-np.expm1(-np.logaddexp(0, z).sum())) if n else 0.0)
-                counts.append(n)
+                bags = bag(text)
+                out.append(noisy_or(bags, weights, bias))
+                counts.append(len(bags))
                 found = []
                 if locate is not None and out[-1] >= locate:
                     for a, e in sentences(text):
-                        words, _, k = bag(text[a:e], bins)
-                        p = 1 / (1 + np.exp(-one(words))) if k else 0.0
+                        p = noisy_or(bag(text[a:e]), weights, bias)
                         if p >= locate:
-                            found.append({"start": a, "stop": e, "score": float(p)})
+                            found.append({"start": a, "stop": e, "score": p})
                 spans.append(found)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64()), pa.array(counts, pa.int32()), pa.array(spans, kind)], [*keep, *added])
 
-    added = [f"{prefix}{c}" for c in ("score", "n_sentences", "sentences")]
-    return picked.mapInArrow(run, f"{schema}, {', '.join(f'{c} {t}' for c, t in zip(added, OUT, strict=True))}")
+    return picked.mapInArrow(run, ", ".join([*([schema] if schema else []), *(f"`{c}` {t}" for c, t in zip(added, OUT, strict=True))]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS, locate: float | None = 0.5, prefix: str = "") -> DataFrame:
     """Fits on labelled rows that aren't held out, scores every row."""
-    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), "toxic")
-    kept = fold(docs, 5) != 0
-    labelled = docs.where(kept).join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
+    labelled = docs.where(fold(docs, 5) != 0).select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__toxic").alias("toxic"))
     model = fit(labelled, fit_rows)
     held_out = f"{prefix}held_out"
-    return score(docs.withColumn(held_out, F.coalesce(fold(docs, 5) == 0, F.lit(False))), model, [*keep, held_out], locate, prefix)
+    return score(docs.withColumn(held_out, F.coalesce(fold(docs, 5) == 0, F.lit(False))), model, [*without(keep, [held_out]), held_out], locate, prefix)
