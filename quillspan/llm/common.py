@@ -33,6 +33,14 @@ def without(keep: list[str], added: list[str]) -> list[str]:
     return [c for c in keep if c.lower() not in taken]
 
 
+def with_text(df: DataFrame, keep: list[str], column: str) -> DataFrame:
+    """The columns of keep, then `column` under a name that none of them has."""
+    name = "__" + column
+    while name.lower() in {k.lower() for k in keep}:
+        name += "_"
+    return df.select(*keep, df[column].alias(name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

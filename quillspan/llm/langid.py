@@ -5,22 +5,32 @@ under each language, estimates the document's language proportions by expectatio
 selects the language set by penalised likelihood (BIC): sets grow by the language of the next-largest proportion while
 the penalised likelihood improves. All documents of an Arrow batch go through each step together.
 
-The model is fitted on about FIT_ROWS whole documents a language at most (a documented bound; rows are taken by a hash of
-doc_id and text). Everything else reads every row. Predictions depend on the text alone.
+The model is fitted on about FIT_ROWS whole documents of each of the MOST_LANGS most frequent languages at most
+(documented bounds; rows are taken by a hash of doc_id and text). Everything else reads every row. Predictions depend on
+the text alone. Texts are read in pieces of PIECE bytes; besides, a task holds 4 bytes a language for each word of PIECE
+bytes of text or of one document.
 
 Defined cases: a null text, or one without a letter, gives `und` with score 0; with nothing to learn from (no labelled
 rows) every text gives `und`; a null doc_id is neither learned from nor held out; ties go to the first language by code
-point; repeated rows and extra columns change nothing.
+point; repeated rows change nothing; a kept column with the name
+of an added one gives way; other extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.common import with_text, without
+
 FIT_ROWS = 1500
+MOST_LANGS = 1024
+PIECE = 1 << 20
 BITS = 15
 SMOOTH = 0.2
 ROUNDS = 12
@@ -33,12 +43,37 @@ _letter = np.zeros(256, bool)
 _letter[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a few whole texts: the hashed n-gram bins at each byte of a word [bytes, 3], the word of each byte, the text of each word.
-
-    A text without a letter has no words here.
-    """
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+def texts_at_once(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A few MB of text at a time, or one document."""
+    lengths, lo = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(lengths[lo:]), PIECE)))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[list[bytes], int]]:
+    """The texts as bytes with the number of the first, at most about PIECE bytes at a time: a longer text is cut between words."""
+    raw, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        t = text.encode("utf-8", "surrogatepass")
+        if raw and size + len(t) > PIECE:
+            yield raw, first
+            raw, first, size = [], i, 0
+        while len(t) > PIECE:
+            outside = np.flatnonzero(~_word[np.frombuffer(t, np.uint8, PIECE)])
+            cut = int(outside[-1]) + 1 if len(outside) else next((k for k in range(PIECE, len(t)) if not _word[t[k]]), len(t))
+            yield [t[:cut]], i
+            t = t[cut:]
+            first = i
+        raw.append(t)
+        size += len(t)
+    if raw:
+        yield raw, first
+
+
+def grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a few texts: the hashed n-gram bins at each byte of a word [bytes, 3], the word of each byte, the text of each word."""
     data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
     inside = _word[data]
     begins = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
@@ -54,11 +89,24 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bins, word, np.searchsorted(ends, begins, "right")
 
 
+def word_scores(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-likelihood of every word under each language, and the text of each word."""
+    scores, docs = [np.zeros((0, logp.shape[1]), np.float32)], [np.zeros(0, np.int64)]
+    for raw, first in pieces(texts):
+        bins, word, doc = grams(raw)
+        if len(word):
+            ll = (logp[bins[:, 0]] + logp[bins[:, 1]] + np.where(bins[:, 2:] >= 0, logp[bins[:, 2]], 0)).astype(np.float32)
+            scores.append(np.add.reduceat(ll, np.flatnonzero(np.diff(word, prepend=-1)), axis=0))
+            docs.append(doc + first)
+    return np.concatenate(scores), np.concatenate(docs)
+
+
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """labelled: (doc_id, text, lang). Returns the languages and log-probabilities [bins, languages]."""
     usable = labelled.where("text is not null and lang is not null")
     # a row a language, as the model below has; texts aren't shuffled by so skewed a key
-    rates = {r["lang"]: fit_rows / r["count"] for r in usable.groupBy("lang").count().collect()}
+    known = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    rates = {r["lang"]: fit_rows / r["count"] for r in known.collect()}
     if not rates:
         return [], np.zeros((1 << BITS, 0), np.float32)
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
@@ -68,15 +116,15 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.nd
     def count(batches):
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                few = batch.slice(lo, 256)
+            for few in texts_at_once(batch, 1):
                 langs = few.column(0).to_pylist()
-                bins, word, doc = grams(few.column(1).to_pylist())
                 names = sorted(set(langs))
-                own = np.searchsorted(names, np.array(langs))[doc[word]] if len(word) else np.empty(0, int)
-                for i, name in enumerate(names):
-                    b = bins[own == i].ravel()
-                    seen[name] = seen.get(name, 0) + np.bincount(b[b >= 0], minlength=1 << BITS)
+                for raw, first in pieces(few.column(1).to_pylist()):
+                    bins, word, doc = grams(raw)
+                    own = np.searchsorted(names, np.array(langs))[first + doc[word]] if len(word) else np.empty(0, int)
+                    for i, name in enumerate(names):
+                        b = bins[own == i].ravel()
+                        seen[name] = seen.get(name, 0) + np.bincount(b[b >= 0], minlength=1 << BITS)
         for name, c in seen.items():
             nz = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(nz)), pa.array(nz), pa.array(c[nz].astype(np.int64))], ["lang", "bin", "n"])
@@ -95,11 +143,8 @@ def infer(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[
     n, k = len(texts), len(langs)
     usable = [t if t is not None and any(map(str.isalpha, t)) else "" for t in texts] if k else [""] * n
     share, best = np.zeros((n, max(k, 1))), np.zeros((n, max(k, 1)), bool)
-    bins, word, doc = grams(usable)
-    if len(word):
-        ll = (logp[bins[:, 0]] + logp[bins[:, 1]] + np.where(bins[:, 2:] >= 0, logp[bins[:, 2]], 0)).astype(np.float32)
-        cut = np.flatnonzero(np.diff(word, prepend=-1))
-        q = np.add.reduceat(ll, cut, axis=0)  # a word's log-likelihood under each language
+    q, doc = word_scores(usable, logp)
+    if len(q):
         top = q.max(1)
         q = np.exp(q - top[:, None])
         heads = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -145,23 +190,19 @@ def infer(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], prefix: str = "") -> DataFrame:
     """The columns of keep with lang_pred, score and shares added, under names with the prefix."""
     langs, logp = model
-    picked = docs.select(*keep, F.col("text").alias("__text"))
+    added = [f"{prefix}{c}" for c in ("lang_pred", "score", "shares")]
+    keep = without(keep, added)
+    picked = with_text(docs, keep, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
 
     def run(batches):
         for batch in batches:
-            lo = 0
-            lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(len(keep))), 0))
-            while lo < batch.num_rows:  # a few MB of text at a time, or one document
-                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(lengths[lo:]), 1 << 20)))
-                few = batch.slice(lo, hi - lo)
+            for few in texts_at_once(batch, len(keep)):
                 pred, share, shares = infer(few.column(len(keep)).to_pylist(), langs, logp)
                 add = [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*few.columns[:-1], *add], [*keep, *added])
-                lo = hi
 
-    added = [f"{prefix}{c}" for c in ("lang_pred", "score", "shares")]
-    return picked.mapInArrow(run, f"{schema}, {', '.join(f'{c} {t}' for c, t in zip(added, ('string', 'double', 'map<string,double>'), strict=True))}")
+    return picked.mapInArrow(run, ", ".join([*([schema] if schema else []), *(f"`{c}` {t}" for c, t in zip(added, ("string", "double", "map<string,double>"), strict=True))]))
 
 
 def fold(docs: DataFrame, modulus: int):
@@ -173,4 +214,4 @@ def identify(docs: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS, prefix:
     """Fits on the rows that aren't held out, predicts every row."""
     model = fit(docs.where(fold(docs, 4) != 2).select("doc_id", "text", "lang"), fit_rows)
     held_out = f"{prefix}held_out"
-    return score(docs.withColumn(held_out, F.coalesce(fold(docs, 4) == 2, F.lit(False))), model, [*keep, held_out], prefix)
+    return score(docs.withColumn(held_out, F.coalesce(fold(docs, 4) == 2, F.lit(False))), model, [*without(keep, [held_out]), held_out], prefix)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import FOLD, without
+from quillspan.llm.common import FOLD, with_text, without
 from quillspan.llm.langid import fold
 
 FIT_ROWS = 12_000
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], loc
     w, bias = model
     added = [f"{prefix}{c}" for c in ("score", "n_sentences", "sentences")]
     keep = without(keep, added)
-    picked = docs.select(*keep, F.col("text").alias("__text"))
+    picked = with_text(docs, keep, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
 
     def run(batches):
