@@ -11,7 +11,8 @@ text, and a heading is never marked by its id, which is an anchor.
 The parser takes time linear in the page: open elements are found by their names' own stacks, and a tag that never ends is
 looked for once. Rows are handled in place: no shuffle, memory bounded by a page. Defined cases: null, empty and textless
 pages give an empty text; unclosed and stray tags are mended; quotes count after `=` only, and no longer once a tag's end
-was found in quotes only; a page whose text is all cut gives an empty text; repeated rows give repeated rows; extra columns are ignored.
+was found in quotes only; a page whose text is all cut gives an empty text; repeated rows give repeated rows; a kept column named text gives way; other extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillspan.llm.common import with_text, without
+
 # Element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -101,7 +104,7 @@ def is_mark(name: str) -> bool:
 
 
 def _attrs(text: str) -> dict[str, str]:
-    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _attr.finditer(text)} if text and not text.isspace() else {}
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _attr.finditer(text)}
 
 
 def _judged(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool]:
@@ -154,7 +157,7 @@ def parse(html: str) -> Node:
             continue
         if tag in BLOCK and stack.blocks and stack.nodes[stack.blocks[-1]].tag == "p":
             stack.close(stack.blocks[-1])
-        if tag not in HEAD:
+        if tag not in HEAD and (stack.at.get("head") or tag in ("article", "main")):
             # a head ends at the first element of a body; menus and headers hold no article
             i = stack.first("head", "nav", "header") if tag in ("article", "main") else stack.first("head")
             if i:
@@ -168,7 +171,10 @@ def parse(html: str) -> Node:
             end = _raw_end[tag].search(html, at)
             at = end.end() if end else n
             continue
-        node = Node(tag, stack.nodes[-1], *_judged(tag, _attrs(attrs), bool(stack.last("article", "main"))))
+        if attrs and not attrs.isspace() or tag == "header":
+            node = Node(tag, stack.nodes[-1], *_judged(tag, _attrs(attrs), bool(stack.last("article", "main"))))
+        else:
+            node = Node(tag, stack.nodes[-1], tag in CUT)
         stack.nodes[-1].kids.append(node)
         if tag not in VOID and not attrs.endswith("/"):
             stack.push(node)
@@ -211,9 +217,10 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _settle(root: Node) -> None:
+def _settle(root: Node, order: list[Node]) -> bool:
     """Cuts the marked elements, but for those that hold most of the text and an article, or leave hardly any other text and no article."""
-    order = _measure(root)
+    if not any(n.marked for n in order):
+        return False
     whole = root.size - root.links
     holding, rest = {n.parent for n in order if n.tag in ("article", "main")}, 0
     for node in reversed(order):  # kids stand after their parents
@@ -230,6 +237,7 @@ def _settle(root: Node) -> None:
         own = node.size - node.links
         if node.marked:
             node.cut = not (2 * own > whole and (node in holding or not outside and 10 * rest < own))
+    return True
 
 
 def _density(node: Node) -> float:
@@ -267,8 +275,9 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
-    _settle(root)
     order = _measure(root)
+    if _settle(root, order):
+        order = _measure(root)
     best, top = None, 0.0
     for node in order:  # in page order from the root, so that the outer of two equals is kept
         s = node.score * (1 - _density(node))
@@ -298,7 +307,8 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of keep with text."""
-    picked = pages.select(*keep, pages["html"].alias("__html"))
+    keep = without(keep, ["text"])
+    picked = with_text(pages, keep, "html")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
 
     def run(batches):

@@ -42,6 +42,8 @@ def test_odd_pages(spark):
     found = [r["text"] for r in html.extract(df, ["page_id"]).orderBy("page_id").collect()]
     assert found == ["", "", "plain text, no tags", "a", "<b> é &bogus;", "", "", "", "a < b", "deep", "deep"]
     assert html.extract(df.where("1 = 0"), ["page_id"]).count() == 0
+    clash = html.extract(df.selectExpr("*", "1 as __html"), ["page_id", "TEXT", "__html"])
+    assert clash.columns == ["page_id", "__html", "text"] and clash.count() == len(pages)
 
 
 def test_headings_and_short_paragraphs_beside_a_div():
@@ -80,5 +82,5 @@ def test_hostile_pages_take_linear_time():
     for piece in ('<a "x ', '<a b="> ', "<a b='>\" ", "<", "<a", "</", "<!", "<!--", "&", "&amp", "<p ", "<p a=", "<p>", "<b>", "</b>", "<li>", "<td>", "<i><div>", "x<br>", "<script>", "<p>a, b</i>"):
         html.main_text(piece * ((1 << 20) // len(piece)))
     for head, tail in (("<b>", "</i>"), ("<i><div>" + "<b>" * 1000, "</i>"), ("<ul>" + "<b>" * 1000, "<li>"), ("<article>", "<header>"), ("<div>", "<p>x, y")):
-        html.main_text(head * 20_000 + tail * 40_000)
+        html.main_text(head * (400_000 // len(head)) + tail * (400_000 // len(tail)))
     assert time.time() - begun < 60
