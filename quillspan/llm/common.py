@@ -105,6 +105,29 @@ def components(edges: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
             return labels
 
 
+def roots(link: np.ndarray) -> np.ndarray:
+    """The least node of each node's component; link: the symmetric matrix of the bounded set of nodes of one task."""
+    root, new = np.arange(len(link)), np.ones(len(link), bool)
+    for i in range(len(link)):
+        if new[i]:
+            front = np.array([i])
+            while len(front):
+                new[front], root[front] = False, i
+                front = np.flatnonzero(link[front].any(0) & new)
+    return root
+
+
+def owned(link: np.ndarray, groups: list, mine: int) -> np.ndarray:
+    """The links that are counted in the group `mine`: those of pairs that share no group below it."""
+    lower: dict = {}
+    pairs = [(i, lower.setdefault(g, len(lower))) for i in np.flatnonzero(link.any(1)).tolist() for g in groups[i] if g < mine]
+    if not pairs:
+        return link
+    m = np.zeros((len(link), len(lower)), np.float32)
+    m[tuple(np.array(pairs).T)] = 1
+    return link & ~(m @ m.T > 0)
+
+
 class UnionFind:
     """Least-root union-find over the bounded set of nodes of one task."""
 

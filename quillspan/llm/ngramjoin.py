@@ -26,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import UnionFind, components, discard, stored, words_of
+from quillspan.llm.common import components, owned, roots, stored, words_of
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 140
-BLOCK = 2000
+BLOCK = 128
+BLOCK_GRAMS = 1_000_000
 LAST = 9223372036854775807
 
 
@@ -138,10 +139,11 @@ def common_counts(sets: list[np.ndarray], cand: np.ndarray) -> np.ndarray:
     return np.where(cand, total.astype(np.int64), 0)
 
 
-def verify(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verify(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, copies: np.ndarray, threshold: float, groups: list | None = None, mine: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links of each node (weighted by copies) and the root of each in the spanning forest.
 
-    side: 0 to compare all pairs, else 1 and 2 to compare across.
+    side: 0 to compare all pairs, else 1 and 2 to compare across; groups: those of each node, if pairs are to be counted in
+    the first group of both only, `mine` being this one.
     """
     n = len(sets)
     cand = np.zeros((n, n), bool)
@@ -150,36 +152,53 @@ def verify(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, copies:
     cand &= np.triu(np.ones((n, n), bool), 1)
     if side.any():
         cand &= side[:, None] != side[None, :]
+    if groups is not None:
+        cand = owned(cand | cand.T, groups, mine) & np.triu(np.ones((n, n), bool), 1)
     inter = common_counts(sets, cand)
     size = np.fromiter(map(len, sets), np.int64, n)
     union = size[:, None] + size[None, :] - inter
     link = cand & (inter >= threshold * union - 1e-9)
-    links = link @ copies + link.T @ copies
-    forest = UnionFind(n)
-    for i, j in np.argwhere(link):
-        forest.union(i, j)
-    return links, np.array([forest.find(i) for i in range(n)])
-
-
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, block: int = BLOCK) -> DataFrame:
+    link |= link.T
+    return link @ copies, roots(link)
+
+
+def units_of(nodes: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """A row for each node and unit of work: node, unit, units (of the node, null in a candidate group), parts (blocks of the unit); nodes in no pair have none."""
+    buckets = nodes.select("node", "n_grams", F.posexplode("bands").alias("band", "h")).select("node", "n_grams", F.xxhash64("band", "h").alias("bucket"))
+    # buckets of equal members have equal sums (without carry) of hashes
+    shape = buckets.groupBy("bucket").agg(
+        F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"),
+        F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"),
+    ).where("n > 1")
+    shape = shape.select("bucket", "leader", "n", "grams", F.xxhash64("leader", "n", "s1", "s2").alias("unit"))
+    held = stored(buckets.join(shape, "bucket").groupBy("node", "unit").agg(*(F.first(c).alias(c) for c in ("leader", "n", "grams", "n_grams"))), "units")
+    groups = components(held.where("node <> leader").select("node", "leader"), "node", "leader", "candidates")
+    parts = lambda n, grams: F.ceil(F.greatest(F.col(n) / F.lit(block), F.col(grams) / F.lit(block_grams))).cast("int")
+    # texts that would go out: of a group, and of its buckets
+    own = held.select("node", "n_grams").distinct().join(groups, "node").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
+    own = own.select("label", parts("n", "grams").alias("group_parts"), (F.col("n") * parts("n", "grams")).alias("group_work"))
+    labelled = held.join(groups, "node").withColumn("parts", parts("n", "grams"))
+    work = labelled.groupBy("label").agg(F.sum("parts").alias("bucket_work")).join(own, "label").withColumn("whole", F.expr("group_parts = 1 or group_work <= bucket_work"))
+    labelled = labelled.join(work.select("label", "group_parts", "whole"), "label")
+    whole = labelled.where("whole").select("node", F.col("label").alias("unit"), F.lit(None).cast("array<long>").alias("units"), F.col("group_parts").alias("parts")).distinct()
+    split = labelled.where("not whole").select("node", "unit", "parts")
+    units = split.groupBy("node").agg(F.collect_list("unit").alias("units"))  # as many as bands at most
+    return whole.unionByName(split.join(units, "node").select("node", "unit", "units", "parts"))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Per document row: key, th, n_grams, class_key, class_th (its class's representative), n_links."""
-    spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
     signed = stored(signatures(docs, bands, rows, n), "signed")
     nodes = stored(
-        signed.where("node is not null").groupBy("node").agg(F.min(F.struct("key", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes"
+        signed.where("node is not null").groupBy("node").agg(F.min(F.struct("key", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "nodes"
     )
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    ties = buckets.join(leaders, "bucket").where("node <> leader").select("node", "leader").distinct()
-    groups = components(ties, "node", "leader", "candidates")
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    members = groups.join(sizes, "label").join(nodes, "node").select("node", "label", "n", "rep", "copies", "bands")
-    # a group of more than `block` nodes: pairs (i, j) of its blocks
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = members.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("node", "rep", "copies", "bands", (F.col("parts") > 1).alias("large"), F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"), F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+    members = units_of(nodes.select("node", "n_grams", "bands"), block, block_grams).join(nodes.select("node", "rep", "copies", "bands"), "node")
+    own = F.pmod(F.xxhash64("node", "unit"), F.col("parts")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    side = F.expr("case when own = other then 0 when own < other then 1 else 2 end")
+    task = F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select("node", "rep", "copies", "bands", (F.expr("parts > 1 or units is not null")).alias("large"), side.alias("side"), task.alias("task"), "unit", "units")
     texts = keyed(docs).select("__key", "__th", "text")
     found = stored(_verified(dealt.join(texts, (F.col("rep.key") == F.col("__key")) & (F.col("rep.th") == F.col("__th"))), threshold, n), "links")
     small = found.where("not large").select("node", "links", "root")
@@ -197,7 +216,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def _verified(rows: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Runs verify() on every task of (task, side, node, copies, bands, text); tasks follow each other within a partition."""
+    """Runs verify() on every task; tasks follow each other within a partition."""
 
     def run(batches):
         hashes = Hashes()
@@ -210,11 +229,11 @@ def _verified(rows: DataFrame, threshold: float, n: int) -> DataFrame:
             mine = list(seen.values())
             sets = [gram_set(r[6], hashes, n) for r in mine]
             node, copies, side = (np.array([r[i] for r in mine], np.int64) for i in (1, 2, 4))
-            links, root = verify(sets, np.array([r[5] for r in mine]), side, copies, threshold)
+            links, root = verify(sets, np.array([r[5] for r in mine]), side, copies, threshold, None if mine[0][8] is None else [r[8] for r in mine], mine[0][7])
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(node[root]), pa.array([r[3] for r in mine])], ["node", "links", "root", "large"])
 
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for r in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 if held and held[0][0] != r[0]:
                     yield done()
                     held = []
@@ -222,7 +241,7 @@ def _verified(rows: DataFrame, threshold: float, n: int) -> DataFrame:
         if held:
             yield done()
 
-    ready = rows.select("task", "node", "copies", "large", "side", "bands", "text").repartition("task").sortWithinPartitions("task")
+    ready = rows.select("task", "node", "copies", "large", "side", "bands", "text", "unit", "units").repartition("task").sortWithinPartitions("task")
     return ready.mapInArrow(run, "node long, links long, root long, large boolean")
 
 

@@ -59,6 +59,21 @@ def test_large_group_in_blocks(spark):
     assert run(docs, block=16) == truth
 
 
+def test_chains_are_verified_by_bucket(spark):
+    """Each text is like the next ones only: a long group without a large bucket."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 150])) for i in range(60)] + near_copies(20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = ngramjoin.bands_for()
+    nodes = ngramjoin.signatures(docs, *bands).select("node", "n_grams", "bands")
+    units = ngramjoin.units_of(nodes, 2, 10**6)
+    assert units.where("units is not null").count() and not ngramjoin.units_of(nodes, 100, 10**6).where("units is not null").count()
+    truth = brute(rows)
+    for block in (2, 3, 100):
+        assert run(docs, block=block) == truth
+    assert run(docs, block_grams=300) == truth
+
+
 def test_both_ways_of_counting_agree():
     import numpy as np
 
