@@ -30,7 +30,7 @@ from quillspan.llm.common import FOLD, with_text, without
 from quillspan.llm.langid import fold
 
 FIT_ROWS = 12_000
-FIT_CHARS = 128 << 20
+FIT_CHARS = 64 << 20
 BITS = 18
 MIN_DOCS = 4
 STARTS = (3, 5, 7)
@@ -84,50 +84,50 @@ def noisy_or(bags: list[set[bytes]], weights: Weights, bias: float) -> float:
     return float(-np.expm1(-np.logaddexp(0, z).sum()))
 
 
-def instances(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sentence and the bin of every feature, and the document of every sentence."""
+def instances(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sentence and the word (a number) of every instance's word, the document of every sentence, and the word and the bin of every feature."""
     number: dict[bytes, int] = {}
-    of_word: list[list[int]] = []
     s, w, d = [], [], []
     for i, text in enumerate(texts):
         for words in bag(text):
-            for word in sorted(words):
-                if word not in number:
-                    number[word] = len(of_word)
-                    of_word.append(features(word))
-                w.append(number[word])
+            w += [number.setdefault(word, len(number)) for word in sorted(words)]
             s.append(len(words))
             d.append(i)
-    size = np.array([len(f) for f in of_word], np.int64)
-    flat, begin = np.array([b for f in of_word for b in f], np.int64), np.cumsum(size) - size
-    word = np.array(w, np.int64)
-    n = size[word] if len(word) else word
-    at = np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(word) else word
-    return np.repeat(np.repeat(np.arange(len(d)), s), n), flat[at] if len(word) else word, np.array(d, np.int64)
+    bins = [features(word) for word in number]
+    of, flat = np.repeat(np.arange(len(bins)), [len(b) for b in bins]), np.array([x for b in bins for x in b], np.int64)
+    return np.repeat(np.arange(len(d)), s), np.array(w, np.int64), np.array(d, np.int64), of, flat
 
 
 def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     """Weights of the bins and the intercept."""
     full, y = np.zeros(1 << BITS), np.array(labels, float)
-    s, b, d = instances(texts)
+    s, word, d, of, flat = instances(texts)
     if not len(d) or not any(labels):
         return full, START * 10
-    n = len(d)
-    seen = np.bincount(np.unique((d[s] << BITS) | b) & ((1 << BITS) - 1), minlength=1 << BITS)
+    n, n_words = len(d), int(of[-1]) + 1
+    # documents with a feature: its words' documents, each pair once
+    pair = np.unique(d[s] * n_words + word)
+    size, begin = np.bincount(of), np.flatnonzero(np.diff(of, prepend=-1))
+    doc, which = pair // n_words, pair % n_words
+    at = np.repeat(begin[which] - np.cumsum(size[which]) + size[which], size[which]) + np.arange(size[which].sum())
+    seen = np.bincount(np.unique((np.repeat(doc, size[which]) << BITS) | flat[at]) & ((1 << BITS) - 1), minlength=1 << BITS)
     used = np.flatnonzero(seen >= MIN_DOCS)
     code = np.full(1 << BITS, -1)
     code[used] = np.arange(len(used))
-    s, b = s[code[b] >= 0], code[b[code[b] >= 0]]
+    of, b = of[code[flat] >= 0], code[flat[code[flat] >= 0]]
+    weighed = np.zeros(n_words, bool)
+    weighed[of] = True
+    s, word = s[weighed[word]], word[weighed[word]]
     w = np.zeros(len(used))
     bias, m, v, mb, vb = START, np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
-        z = np.bincount(s, w[b], n) + bias
+        z = np.bincount(s, np.bincount(of, w[b], n_words)[word], n) + bias
         log_not = -np.logaddexp(0, z)  # log(1 - p) of a sentence
         clean = np.exp(np.minimum(np.bincount(d, log_not, len(y)), -1e-9))
         p = 1 / (1 + np.exp(-z))
         # d loss / d z: p for clean bags, -p * q / (1 - q) for toxic ones, q the bag's clean probability
         g = p * np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)[d] / len(y)
-        grad, gb = np.bincount(b, g[s], len(used)), g.sum()
+        grad, gb = np.bincount(b, np.bincount(word, g[s], n_words)[of], len(used)), g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         step = RATE / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -139,9 +139,9 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """labelled: (doc_id, text, toxic)."""
-    usable = labelled.where("text is not null and toxic is not null").select("doc_id", "text", "toxic").where(F.length("text") <= FIT_CHARS // 64)
-    n, chars = usable.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    """labelled: (doc_id, text, chars, toxic); chars: the text's length, so that counting needs no text beyond the scan."""
+    usable = labelled.where("toxic is not null").where(F.col("chars") <= FIT_CHARS // 64)
+    n, chars = usable.agg(F.count(F.lit(1)), F.sum("chars")).first()
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     sample = usable.where(part < min(fit_rows / max(n, 1), FIT_CHARS / max(chars or 0, 1))).select("text", "toxic").repartition(1)
 
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], loc
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS, locate: float | None = 0.5, prefix: str = "") -> DataFrame:
     """Fits on labelled rows that aren't held out, scores every row."""
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
-    labelled = docs.where(fold(docs, 5) != 0).select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__toxic").alias("toxic"))
+    labelled = docs.where(fold(docs, 5) != 0).select("doc_id", "text", F.length("text").alias("chars")).join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "chars", F.col("__toxic").alias("toxic"))
     model = fit(labelled, fit_rows)
     held_out = f"{prefix}held_out"
     return score(docs.withColumn(held_out, F.coalesce(fold(docs, 5) == 0, F.lit(False))), model, [*without(keep, [held_out]), held_out], locate, prefix)
