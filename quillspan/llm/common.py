@@ -82,27 +82,31 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 def components(edges: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
-    """Connected components of an edge table by minimum labels and pointer jumping, all in joins and aggregates.
+    """Connected components of an edge table by contraction, all in joins and aggregates.
 
-    Returns (node, label), label the smallest node reachable; nodes are those of the edges. Every round each node takes
-    the least label among itself and its neighbours, then jumps to its label's label; rounds end when no label
-    changes. Rows stay linear in the edges, and each round is a stored table, so nothing is collected.
+    Returns (node, label), label the smallest node reachable; nodes are those of the edges. Every round each node moves to
+    the least node among itself and its neighbours, and edges follow their ends; what becomes a loop or a repeat goes, so
+    the graph shrinks until no edge is left. Labels are carried along. Rows stay linear in the edges, every round's
+    tables are stored, and nothing is collected.
     """
     spark = edges.sparkSession
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = stored(both.union(both.select("v", "u")).distinct(), name + "-edges")
-    labels = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"), name)
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("least"))
-        step = labels.join(near, labels.node == near.u).select("node", F.least("label", "least").alias("next"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("further"))
-        new = stored(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("label"), "was"), name)
-        changed = new.where("label <> was").limit(1).count()
-        discard(spark, labels)
-        labels = new.select("node", "label")
-        if not changed:
-            discard(spark, both)
-            return labels
+    left = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v")
+    left, labels = stored(left.distinct(), name + "-edges"), None
+    while labels is None or left.limit(1).count():
+        both = left.union(left.select("v", "u"))
+        moved = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")), name + "-moved")
+        if labels is None:
+            new = moved.select(F.col("u").alias("node"), F.col("to").alias("label"))
+        else:
+            new = labels.join(moved, labels["label"] == moved["u"], "left").select("node", F.coalesce("to", "label").alias("label"))
+        new = stored(new, name)
+        ends = left.join(moved, "u").select(F.col("to").alias("x"), "v")
+        ends = ends.join(moved, ends["v"] == moved["u"]).select(F.least("x", "to").alias("u"), F.greatest("x", "to").alias("v")).where("u <> v")
+        shrunk = stored(ends.distinct(), name + "-edges")
+        discard(spark, left, moved, *([labels] if labels is not None else []))
+        left, labels = shrunk, new
+    discard(spark, left)
+    return labels
 
 
 def roots(link: np.ndarray) -> np.ndarray:

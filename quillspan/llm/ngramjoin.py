@@ -170,18 +170,19 @@ def units_of(nodes: DataFrame, block: int, block_grams: int) -> DataFrame:
         F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"),
         F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"),
     ).where("n > 1")
-    shape = shape.select("bucket", "leader", "n", "grams", F.xxhash64("leader", "n", "s1", "s2").alias("unit"))
-    held = stored(buckets.join(shape, "bucket").groupBy("node", "unit").agg(*(F.first(c).alias(c) for c in ("leader", "n", "grams", "n_grams"))), "units")
-    groups = components(held.where("node <> leader").select("node", "leader"), "node", "leader", "candidates")
     parts = lambda n, grams: F.ceil(F.greatest(F.col(n) / F.lit(block), F.col(grams) / F.lit(block_grams))).cast("int")
-    # texts that would go out: of a group, and of its buckets
-    own = held.select("node", "n_grams").distinct().join(groups, "node").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
-    own = own.select("label", parts("n", "grams").alias("group_parts"), (F.col("n") * parts("n", "grams")).alias("group_work"))
-    labelled = held.join(groups, "node").withColumn("parts", parts("n", "grams"))
-    work = labelled.groupBy("label").agg(F.sum("parts").alias("bucket_work")).join(own, "label").withColumn("whole", F.expr("group_parts = 1 or group_work <= bucket_work"))
-    labelled = labelled.join(work.select("label", "group_parts", "whole"), "label")
-    whole = labelled.where("whole").select("node", F.col("label").alias("unit"), F.lit(None).cast("array<long>").alias("units"), F.col("group_parts").alias("parts")).distinct()
-    split = labelled.where("not whole").select("node", "unit", "parts")
+    shape = stored(shape.select("bucket", "leader", F.xxhash64("leader", "n", "s1", "s2").alias("unit"), "n", parts("n", "grams").alias("parts")), "buckets")
+    held = stored(buckets.join(shape, "bucket").groupBy("node", "unit").agg(F.first("leader").alias("leader"), F.first("parts").alias("parts"), F.first("n_grams").alias("n_grams")), "held")
+    groups = components(held.where("node <> leader").select("node", "leader"), "node", "leader", "candidates")
+    # the texts that would go out of a group by its blocks and by its buckets
+    once = shape.groupBy("unit").agg(F.first("leader").alias("node"), F.first(F.col("n") * F.col("parts")).alias("work"))
+    by_bucket = once.join(groups, "node").groupBy("label").agg(F.sum("work").alias("bucket_work"))
+    by_block = nodes.select("node", "n_grams").join(groups, "node").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
+    work = by_block.select("label", "n", parts("n", "grams").alias("group_parts")).join(by_bucket, "label")
+    work = stored(work.select("label", "group_parts", F.expr("group_parts = 1 or n * group_parts <= bucket_work").alias("whole")), "work")
+    placed = stored(groups.join(work, "label"), "groups")
+    whole = placed.where("whole").select("node", F.col("label").alias("unit"), F.lit(None).cast("array<long>").alias("units"), F.col("group_parts").alias("parts"))
+    split = held.join(placed.where("not whole").select("node"), "node").select("node", "unit", "parts")
     units = split.groupBy("node").agg(F.collect_list("unit").alias("units"))  # as many as bands at most
     return whole.unionByName(split.join(units, "node").select("node", "unit", "units", "parts"))
 
@@ -226,7 +227,7 @@ def _verified(rows: DataFrame, threshold: float, n: int) -> DataFrame:
             seen: dict = {}
             for r in held:
                 seen.setdefault(r[1], r)
-            mine = list(seen.values())
+            mine = [seen[k] for k in sorted(seen)]  # so that a root is its task's least node
             sets = [gram_set(r[6], hashes, n) for r in mine]
             node, copies, side = (np.array([r[i] for r in mine], np.int64) for i in (1, 2, 4))
             links, root = verify(sets, np.array([r[5] for r in mine]), side, copies, threshold, None if mine[0][8] is None else [r[8] for r in mine], mine[0][7])
