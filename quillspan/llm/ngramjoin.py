@@ -208,7 +208,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         label = components(large, "node", "root", "large").select("node", F.col("label").alias("root"))
         counted = large.groupBy("node").agg(F.sum("links").alias("links"))
         small = small.unionByName(counted.join(label, "node", "left").select("node", "links", F.coalesce("root", "node").alias("root")))
-    classes = small.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class"))
+    classes = stored(small.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class")), "representatives")
     placed = small.join(classes, "root").select("node", "links", "class")
     whole = nodes.join(placed, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class", "rep").alias("class"))
     whole = stored(whole, "classes")  # both sides of the last join are plain exchanges, so Spark splits a node of very many copies
