@@ -1,13 +1,16 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Equal vectors are one node with a count, so copies never meet pairwise. Pivots (a bounded hash sample of nodes, thinned so
-that no two are near each other) cut the nodes into overlapping cluster shards: every node joins its nearest pivots. In
-each shard a flat graph is built by greedy search and robust pruning; the adjacency lists of a node from all its shards are
-united. The search starts at the shard's medoid, follows the united lists greedily to the query and then expands over all
-neighbours in range, so it finds whole balls. Every link is verified by its cosine in double precision. A shard of more
-than BLOCK nodes is cut into blocks and each pair of blocks is a task, so tasks are bounded whatever a cluster's size. Pairs
-aren't emitted: of the tasks that hold both nodes only one counts the link, and a task returns each node's number of links
-and a spanning link.
+Equal vectors are one node with a count, so copies never meet pairwise. Pivots (a hash sample of nodes, without those
+that link with an earlier one, so that a tight group stays whole) cut the nodes into overlapping cluster shards: every
+node joins its nearest pivots. With more nodes than PIVOT_SAMPLE pivots can cut, each of their shards has pivots of its
+own, and a node joins the nearest of those of all its shards. In each shard a flat graph is built by greedy search and
+robust pruning; the adjacency lists of a node from all its shards are united. The united lists lead across shards: a node
+joins the first shard of each neighbour within twice the angle of the threshold, where what lies in range of both is
+found. The search starts at the shard's medoid, follows the united lists greedily to the query and then expands over all
+neighbours in range, so it finds whole balls; what was found is made symmetric, and all pairs of what it connected
+are verified by their cosines in double precision. A shard of more than BLOCK nodes is cut into blocks and each pair of
+blocks is a task, so tasks are bounded whatever a cluster's size. Pairs aren't emitted: of the tasks that hold both nodes
+only one counts the link, and a task returns each node's number of links and a spanning link.
 
 The overlap follows the number of pivots: it is the least at which pairs made at the threshold share a shard in SHARED of
 cases. Recall is audited: nodes in hashed order, AUDIT at first and AUDIT_MOST at most, are compared with every vector by
@@ -31,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import UnionFind, components, stored
+from quillspan.llm.common import components, owned, roots, stored
 
 THRESHOLD = 0.95
 PIVOT_SAMPLE = 16_384
@@ -39,6 +42,8 @@ PER_SHARD = 600
 OVERLAP = 2
 OVERLAP_MOST = 16
 SHARED = 0.98
+#: Rows that meet a shard's own pivots in one task.
+SALT_ROWS = 20_000
 BLOCK = 1024
 DEGREE = 24
 BEAM = 40
@@ -78,19 +83,24 @@ def matrix(rows: list) -> np.ndarray:
     return np.array(rows, np.float64)
 
 
-def pivots_of(nodes: DataFrame, n: int, seed: int = 0) -> np.ndarray:
-    """Pivots: of a hash sample of at most PIVOT_SAMPLE nodes, those that aren't near an earlier one."""
+def thinned(x: np.ndarray, threshold: float) -> np.ndarray:
+    """The vectors that don't link with an earlier one, by number."""
+    kept: list[int] = []
+    for i in range(len(x)):
+        if not kept or (x[kept] @ x[i]).max() < threshold:
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def pivots_of(nodes: DataFrame, n: int, threshold: float = THRESHOLD, seed: int = 0) -> np.ndarray:
+    """Pivots: of a hash sample of at most PIVOT_SAMPLE nodes, those that don't link with an earlier one."""
     wanted = min(PIVOT_SAMPLE, max(1, 3 * n // PER_SHARD))
     sample = nodes.select("v", F.xxhash64("node", F.lit(seed)).alias("h")).orderBy("h").limit(wanted).select("v").toLocalIterator()
     rows = [r["v"] for r in sample]
     sizes = [len(v) for v in rows]
     usual = max(set(sizes), key=lambda d: (sizes.count(d), d))
     x = matrix([v for v in rows if len(v) == usual])  # the usual dimension's
-    kept: list[int] = []
-    for i in range(len(x)):
-        if not kept or (x[kept] @ x[i]).max() < 0.8:
-            kept.append(i)
-    return x[kept[: max(1, -(-n // PER_SHARD))]]
+    return x[thinned(x, threshold)[: max(1, -(-n // PER_SHARD))]]
 
 
 def overlap_for(pivots: np.ndarray, threshold: float, least: int = OVERLAP, share: float = SHARED, pairs: int = 2048) -> int:
@@ -188,24 +198,90 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return lists, medoid
 
 
-def dealt_rows(nodes: DataFrame, pivots: np.ndarray, overlap: int, block: int) -> DataFrame:
-    """A row for each node and task: task, shard, side, shards (all shards of the node), v, copies."""
+def nearest(x: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the k nearest pivots of each vector, nearest first, and their cosines."""
+    c = x @ pivots.T
+    k = min(k, c.shape[1])
+    top = np.argpartition(-c, k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(c, top, 1)
+    order = np.argsort(-near, axis=1, kind="stable")
+    return np.take_along_axis(top, order, 1), np.take_along_axis(near, order, 1)
+
+
+PLACED = "node long, copies long, v array<double>, shards array<long>"
+
+
+def placed_rows(nodes: DataFrame, pivots: np.ndarray, overlap: int, threshold: float = THRESHOLD) -> DataFrame:
+    """node, copies, v and shards, the nearest pivot's first."""
 
     def assign(batches):
         for batch in batches:
             rows = batch.column(2).to_pylist()
-            near = [[] for _ in rows]
+            near: list = [[-len(r)] for r in rows]  # another dimension: a shard of its own
             same = [i for i, r in enumerate(rows) if len(r) == pivots.shape[1]]
             if same:
-                c = matrix([rows[i] for i in same]) @ pivots.T
-                k = min(overlap, c.shape[1])
-                for i, top in zip(same, np.sort(np.argpartition(-c, k - 1, axis=1)[:, :k], axis=1).tolist(), strict=True):
+                for i, top in zip(same, nearest(matrix([rows[i] for i in same]), pivots, overlap)[0].tolist(), strict=True):
                     near[i] = top
-            for i, r in enumerate(rows):
-                near[i] = near[i] or [-len(r)]  # another dimension: a shard of its own
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], ["node", "copies", "v", "shards"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int64()))], ["node", "copies", "v", "shards"])
+
+    placed = stored(nodes.select("node", "copies", "v").mapInArrow(assign, PLACED), "placed")
+    return placed if len(pivots) < PIVOT_SAMPLE else _placed_within(placed, overlap, threshold)
+
+
+def _placed_within(placed: DataFrame, overlap: int, threshold: float) -> DataFrame:
+    """The same with shards within shards: each has pivots of its own, a hash sample thinned in one task."""
+    rows = placed.select("node", "v", F.explode("shards").alias("shard"))
+    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(SALT_ROWS)).cast("int")
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.join(sizes, "shard").where(part < 1 / PER_SHARD).withColumn("task", F.col("shard"))
+
+    def thin(held):
+        kept = thinned(matrix([r["v"] for r in held]), threshold).tolist()
+        columns = [[held[i][c] for i in kept] for c in ("shard", "node", "v")]
+        return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["shard", "node", "v"])]
+
+    local = stored(_by_task(chosen, ["task", "shard", "node", "v"], thin, "shard long, node long, v array<double>"), "pivots")
+    salted = rows.join(sizes, "shard").withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    copied = local.join(sizes, "shard").withColumn("salt", F.explode(F.expr("sequence(0, cast(ceil(n / {}) as int) - 1)".format(SALT_ROWS))))
+    both = copied.select("shard", "salt", F.lit(0).alias("kind"), "node", "v").unionByName(salted.select("shard", "salt", F.lit(1).alias("kind"), "node", "v"))
 
-    placed = stored(nodes.select("node", "copies", "v").mapInArrow(assign, "node long, copies long, v array<double>, shards array<int>"), "placed")
+    def assign(batches):
+        key, kept, names, x = None, [], [], None
+        for batch in batches:
+            held = batch.to_pylist()
+            for r in held:
+                r["key"] = (r["shard"], r["salt"])
+            lo = 0
+            while lo < len(held):
+                hi = lo
+                while hi < len(held) and held[hi]["key"] == held[lo]["key"] and held[hi]["kind"] == held[lo]["kind"]:
+                    hi += 1
+                if held[lo]["key"] != key:
+                    key, kept, names = held[lo]["key"], [], []
+                if held[lo]["kind"] == 0:
+                    kept += [r["v"] for r in held[lo:hi]]
+                    names += [r["node"] for r in held[lo:hi]]
+                    x = matrix(kept)
+                else:
+                    mine = held[lo:hi]
+                    if names and x.shape[1] == len(mine[0]["v"]):
+                        top, cos = nearest(matrix([r["v"] for r in mine]), x, overlap)
+                        shards, cos = np.array(names, np.int64)[top].tolist(), cos.tolist()
+                    else:  # a shard without pivots stays whole
+                        shards, cos = [[r["shard"]] for r in mine], [[-1.0]] * len(mine)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["node"] for r in mine], pa.int64()), pa.array(shards, pa.list_(pa.int64())), pa.array(cos, pa.list_(pa.float64()))], ["node", "shards", "cos"])
+                lo = hi
+
+    found = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "node").mapInArrow(assign, "node long, shards array<long>, cos array<double>")
+    pairs = found.select("node", F.expr("transform(arrays_zip(cos, shards), x -> named_struct('c', -x.cos, 's', x.shards))").alias("p"))
+    best = pairs.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p"))  # at most overlap squared for a node
+    best = best.select("node", F.expr(f"transform(slice(p, 1, {overlap}), x -> x.s)").alias("shards"))
+    return stored(placed.drop("shards").join(best, "node").select("node", "copies", "v", "shards"), "placed")
+
+
+def dealt_rows(placed: DataFrame, block: int) -> DataFrame:
+    """A row for each node and task: task, shard, own block, diag, shards (all shards of the node), node, v, copies."""
     sizes = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
     rows = placed.withColumn("shard", F.explode("shards")).join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("node", "shard"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
@@ -229,11 +305,26 @@ def _by_task(rows: DataFrame, columns: list[str], work, schema: str) -> DataFram
     return rows.select(*columns).repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, schema)
 
 
-def _built(rows: list) -> list:
-    x = matrix([r["v"] for r in rows])
-    lists, _ = build_graph(x)
-    ids = np.array([r["node"] for r in rows], np.int64)
-    return [pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[y] for y in lists], pa.list_(pa.int64()))], ["node", "near"])]
+def _builder(threshold: float):
+    reach = 2 * threshold * threshold - 1  # the cosine of twice the threshold's angle
+
+    def work(rows: list) -> list:
+        x = matrix([r["v"] for r in rows])
+        lists, _ = build_graph(x)
+        ids = np.array([r["node"] for r in rows], np.int64)
+        close = [ids[y[x[y] @ x[i] >= reach]] if len(y) else ids[:0] for i, y in enumerate(lists)]
+        return [pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[y] for y in lists], pa.list_(pa.int64())), pa.array(close, pa.list_(pa.int64()))], ["node", "near", "close"])]
+
+    return work
+
+
+def _result(rows: list, link: np.ndarray, ids: np.ndarray) -> list:
+    """Of a task's links (symmetric): those counted here, and the root of each node. Blocks of one shard meet in one task."""
+    own, copies = np.array([r["own"] for r in rows]), np.array([r["copies"] for r in rows], np.int64)
+    if not all(r["diag"] for r in rows):
+        link = link & (own[:, None] != own[None, :])
+    counted = owned(link, [r["shards"] for r in rows], rows[0]["shard"])
+    return [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counted @ copies), pa.array(ids[roots(link)])], ["node", "links", "root"])]
 
 
 def _searcher(threshold: float, beam: int):
@@ -248,21 +339,20 @@ def _searcher(threshold: float, beam: int):
                 near[y].append(i)
         lists = [np.unique(np.array(y, np.int64)) for y in near]
         medoid = int(np.argmax(x @ x.mean(0)))
-        shard, shards, own = rows[0]["shard"], [set(r["shards"]) for r in rows], [r["own"] for r in rows]
-        diag = all(r["diag"] for r in rows)
-        copies, links, forest = np.array([r["copies"] for r in rows], np.int64), np.zeros(n, np.int64), UnionFind(n)
+        found = np.zeros((n, n), bool)
         for i in range(n):
             _, inside = greedy(x, lists, medoid, x[i], beam, threshold - 1e-9)
-            inside = np.array([j for j in inside if j != i], np.int64)
-            exact = x[inside] @ x[i] if len(inside) else np.empty(0)
-            for j, c in zip(inside.tolist(), exact.tolist(), strict=True):
-                if c >= threshold:
-                    # the link is counted in the first shard of both, and there where the two blocks meet
-                    if min(shards[i] & shards[j]) == shard and (diag or own[i] != own[j]):
-                        links[i] += copies[j]
-                    forest.union(i, j)
-        root = np.array([forest.find(i) for i in range(n)])
-        return [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(ids[root])], ["node", "links", "root"])]
+            found[i, inside] = True
+        found |= found.T
+        np.fill_diagonal(found, False)
+        # the exact check: every pair of what the search has connected
+        link, root = np.zeros((n, n), bool), roots(found)
+        for r in np.unique(root[found.any(1)]):
+            at = np.flatnonzero(root == r)
+            link[np.ix_(at, at)] = x[at] @ x[at].T >= threshold
+        link |= link.T
+        np.fill_diagonal(link, False)
+        return _result(rows, link, ids)
 
     return work
 
@@ -272,46 +362,38 @@ def _counter(threshold: float):
 
     def work(rows: list) -> list:
         x = matrix([r["v"] for r in rows])
-        n, shard, own = len(rows), rows[0]["shard"], np.array([r["own"] for r in rows])
-        ids, copies = np.array([r["node"] for r in rows], np.int64), np.array([r["copies"] for r in rows], np.int64)
         link = np.triu(x @ x.T >= threshold, 1)
-        link |= link.T
-        if not all(r["diag"] for r in rows):
-            link &= own[:, None] != own[None, :]
-        # the link is counted in the first shard of both, and there where the two blocks meet
-        lower: dict = {}
-        pairs = [(i, lower.setdefault(s, len(lower))) for i in np.flatnonzero(link.any(1)).tolist() for s in rows[i]["shards"] if s < shard]
-        counted = link
-        if pairs:
-            m = np.zeros((n, len(lower)), np.float32)
-            m[tuple(np.array(pairs).T)] = 1
-            counted = link & ~(m @ m.T > 0)
-        root, new = np.arange(n), np.ones(n, bool)
-        for i in range(n):
-            if new[i]:
-                front = np.array([i])
-                while len(front):
-                    new[front], root[front] = False, i
-                    front = np.flatnonzero(link[front].any(0) & new)
-        return [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counted @ copies), pa.array(ids[root])], ["node", "links", "root"])]
+        return _result(rows, link | link.T, np.array([r["node"] for r in rows], np.int64))
 
     return work
 
 
+COLUMNS = ["task", "shard", "own", "diag", "shards", "node", "copies", "v"]
+
+
 def all_links(nodes: DataFrame, threshold: float) -> DataFrame:
     """As graph_links(), of all pairs: every dimension is one shard, of which each two blocks are a task."""
-    usual = nodes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()["d"]
-    rows = dealt_rows(nodes, np.zeros((1, usual)), 1, BLOCK)
-    return stored(_by_task(rows, ["task", "shard", "own", "diag", "shards", "node", "copies", "v"], _counter(threshold), "node long, links long, root long"), "found")
+    whole = nodes.select("node", "copies", "v", F.array(F.size("v").cast("long")).alias("shards"))
+    return stored(_by_task(dealt_rows(whole, BLOCK), COLUMNS, _counter(threshold), "node long, links long, root long"), "found")
+
 
+def graph_links(nodes: DataFrame, pivots: np.ndarray, threshold: float, overlap: int, beam: int, across: bool = True) -> DataFrame:
+    """Per node: links (weighted by copies) and the roots of its tasks' forests; nodes: node, copies, v.
 
-def graph_links(nodes: DataFrame, pivots: np.ndarray, threshold: float, overlap: int, beam: int) -> DataFrame:
-    """Per node: links (weighted by copies) and the roots of its tasks' forests; nodes: node, copies, v."""
-    rows = stored(dealt_rows(nodes, pivots, overlap, BLOCK), "shards")
-    built = _by_task(rows, ["task", "node", "v"], _built, "node long, near array<long>")
-    united = stored(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    columns = ["task", "shard", "own", "diag", "shards", "node", "copies", "v", "near"]
-    return stored(_by_task(rows.join(united, "node"), columns, _searcher(threshold, beam), "node long, links long, root long"), "found")
+    across: whether nodes follow the united lists into their neighbours' shards.
+    """
+    placed = placed_rows(nodes, pivots, overlap, threshold)
+    built = _by_task(dealt_rows(placed, BLOCK), ["task", "node", "v"], _builder(threshold), "node long, near array<long>, close array<long>")
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    united = stored(built.groupBy("node").agg(gathered("near"), gathered("close")), "graph")
+    if across:
+        first = placed.select(F.col("node").alias("other"), F.col("shards")[0].alias("first"))
+        edges = united.select("node", F.explode("close").alias("other"))
+        edges = edges.union(edges.select("other", "node"))
+        more = edges.join(first, "other").groupBy("node").agg(F.collect_set("first").alias("more"))
+        placed = stored(placed.join(more, "node", "left").select("node", "copies", "v", F.array_union("shards", F.coalesce("more", F.expr("array()").cast("array<long>"))).alias("shards")), "placed")
+    rows = dealt_rows(placed, BLOCK).join(united.select("node", "near"), "node")
+    return stored(_by_task(rows, [*COLUMNS, "near"], _searcher(threshold, beam), "node long, links long, root long"), "found")
 
 
 def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float | None:
@@ -356,7 +438,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     nodes = stored(good.groupBy("vh").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumnRenamed("vh", "node"), "nodes")
     n, recall = nodes.count(), None
     if n:
-        pivots = pivots_of(nodes, n)
+        pivots = pivots_of(nodes, n, threshold)
         overlap = overlap_for(pivots, threshold, overlap)
         while True:
             whole = overlap > OVERLAP_MOST

@@ -135,3 +135,61 @@ def test_all_pairs_where_the_index_falls_short(spark, monkeypatch):
     out = run(spark, rows).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == brute(rows)
     assert out[0]["recall"] == 1.0
+
+
+def nodes_of(spark, rows):
+    unit = [(i, 1, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v in rows]
+    return spark.createDataFrame(unit, "node long, copies long, v array<double>"), np.array([v for _, _, v in unit])
+
+
+def test_united_lists_lead_across_shards(spark, monkeypatch):
+    """Chains of near vectors cut by many pivots: what no shard holds together is found along the united lists."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(40):
+        a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+        rows += [(100 * c + k, (np.cos(k / 9) * a + np.sin(k / 9) * b).tolist()) for k in range(12)]
+    nodes, x = nodes_of(spark, rows)
+    truth = int((x @ x.T >= 0.95).sum()) - len(rows)
+    pivots = x  # a shard for each vector: itself and few others
+    count = lambda across: embedding.graph_links(nodes, pivots, 0.95, 2, 40, across).agg({"links": "sum"}).first()[0]
+    apart, together = count(False), count(True)
+    assert 0 < 1.1 * apart < together <= truth
+
+
+def test_counts_are_symmetric_with_few_hops(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "BEAM", 2)
+    rows = clouds(400)
+    nodes, x = nodes_of(spark, rows)
+    links = {r[0]: r[1] for r in embedding.graph_links(nodes, embedding.pivots_of(nodes, 400), 0.95, 2, 1).groupBy("node").sum("links").collect()}
+    label = x @ x.T >= 0.95
+    assert sum(links.values()) % 2 == 0
+    assert all(links[i] == label[i].sum() - 1 for i in range(400))
+
+
+def test_vectors_around_a_common_direction(spark):
+    rng = np.random.default_rng(9)
+    mean = rng.normal(size=48)
+    rows = [(i, (3.2 * mean + rng.normal(size=48)).tolist()) for i in range(1500)]
+    rows += [(2000 + i, (np.array(rows[i][1]) + 0.02 * rng.normal(size=48)).tolist()) for i in range(200)]
+    nodes, x = nodes_of(spark, rows)
+    cos = np.median(x @ x.T)
+    pivots = embedding.pivots_of(nodes, len(rows), 0.97)
+    assert 0.85 < cos < 0.95 and len(pivots) == 3
+    found = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.97).collect()
+    truth = (x @ x.T >= 0.97).sum(1) - 1
+    assert truth.sum() >= 400 and sum(r["n_links"] for r in found) >= 0.97 * truth.sum()
+
+
+def test_shards_within_shards(spark, monkeypatch):
+    for name, value in (("PIVOT_SAMPLE", 4), ("PER_SHARD", 40), ("SALT_ROWS", 90)):
+        monkeypatch.setattr(embedding, name, value)
+    rows = clouds(700) + [(9000, [1.0, 2.0]), (9001, [1.0, 2.01])]
+    nodes, _ = nodes_of(spark, [r for r in rows if len(r[1]) == 16])
+    placed = embedding.placed_rows(nodes, embedding.pivots_of(nodes, 700), 3).collect()
+    assert len(placed) == 700 and all(1 <= len(r["shards"]) <= 3 for r in placed)
+    assert len({s for r in placed for s in r["shards"]}) > 8
+    found = {r["vec_id"]: r for r in run(spark, rows).collect()}
+    truth = brute(rows)
+    assert sum(r["n_links"] for r in found.values()) >= 0.95 * sum(t[0] for t in truth.values()) > 0
+    assert found[9000]["n_links"] == 1
