@@ -1,3 +1,4 @@
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -52,12 +53,54 @@ def test_sizes(spark):
 
 def test_tree_meets_quotas_exactly():
     quota = np.array([1000, 37, 0, 5], np.int64)
-    bounds = mixing.split_tree(quota, 16, 3)
-    parts = np.diff(bounds, axis=1)
-    assert (parts >= 0).all() and (parts.sum(1) == quota).all()
+    parts = np.zeros((4, 16), np.int64)
+    for shard, who, n in mixing.split_tree(quota, 16, 3):
+        assert (n > 0).all()
+        parts[who, shard] = n
+    assert (parts.sum(1) == quota).all()
     assert set(parts.sum(0)) <= {quota.sum() // 16, quota.sum() // 16 + 1}
 
 
+def test_draws_follow_the_hypergeometric_distribution():
+    """Against the exact probabilities of small urns, and the moments of urns beyond 10**9."""
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((5, 7, 4), (1, 30, 15), (40, 2, 20), (3, 3, 6), (0, 4, 2)):
+        got = Counter(mixing.hypergeometric(rng, good, bad, n) for _ in range(4000))
+        for k in range(n + 1):
+            p = math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) if k <= good else 0
+            assert abs(got[k] / 4000 - p) < 5 * (p * (1 - p) / 4000) ** 0.5 + 1e-12
+    good, bad, n = 9_000_000_000, 7_000_000_000, 8_000_000_000
+    draws = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(200)], float)
+    total = good + bad
+    mean, sd = n * good / total, (n * good / total * bad / total * (total - n) / (total - 1)) ** 0.5
+    assert abs(draws.mean() - mean) < 5 * sd / 200**0.5 and 0.8 < draws.std() / sd < 1.2
+    left = mixing.draw(rng, np.array([3 * 10**9, 10**10, 5, 0]), 6 * 10**9)
+    assert left.sum() == 6 * 10**9 and left[2] <= 5 and left[3] == 0
+
+
+def test_equal_rows_are_numbered(spark):
+    rows = spark.range(1000).selectExpr("if(id % 3 = 0, 7, id) as h", "id % 2 as x").repartition(5).withColumn("rid", F.monotonically_increasing_id())
+    found = mixing.numbered(mixing.stored(rows, "t")).collect()
+    assert len(found) == 1000 and len({r["h2"] for r in found}) == 1000 == len({r["rid"] for r in found})
+
+
+def test_many_shards_and_stretches(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 7)
+    monkeypatch.setattr(mixing, "TREE_CELLS", 50)
+    docs = awkward(spark)
+    rows = mixing.plan(docs, ["doc_id", "source"], shards=500).collect()
+    plain = mixing.plan(docs, ["doc_id", "source"], shards=3).withColumn("taken", mixing.taken()).collect()
+    assert len(rows) == docs.count()
+    assert sum(p["n"] for r in rows for p in r["pieces"]) == sum(r["taken"] for r in plain)
+    assert {p["shard"] for r in plain for p in r["pieces"]} == {0, 1, 2} and len({p["shard"] for r in rows for p in r["pieces"]}) > 300
+
+
+def test_shards_follow_the_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 400)
+    shards = {r["shard"] for r in mixing.mix(awkward(spark)).collect()}
+    assert len(shards) > 100 and shards == set(range(len(shards)))
+
+
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 17, 1000):
         assert sorted(mixing.permute(np.arange(n), n, 99).tolist()) == list(range(n))
@@ -76,7 +119,7 @@ def test_mixture_pieces(spark):
     shards = Counter()
     for r in rows:
         shards[r["shard"]] += r["n_words"]
-    assert len(shards) == mixing.SHARDS
+    assert len(shards) == mixing.LEAST_SHARDS
 
 
 def test_empty(spark):
