@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go; rows that share id and text share the verdict."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontam.decontaminate(docs, benchmark, slop=None, keep_key=True).where(F.size("hits") > 0).select("doc_id", "key").distinct()
+    hit = decontam.decontaminate(docs, benchmark, keep_key=True).where(F.size("hits") > 0).select("doc_id", "key").distinct()
     hit = hit.select(F.col("doc_id").alias("__id"), F.col("key").alias("__text"))
     marked = docs.withColumn("__text", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
     same = marked["__id"].eqNullSafe(hit["__id"]) & (marked["__text"] == hit["__text"])
