@@ -6,17 +6,20 @@ BLOCK tokens, finds the separators of a block in one vectorised comparison, and
 bounds with a prefix scan (separators before the block; tokens since the last separator, a two-level sum within a file).
 The k-th document of a file is the k-th separator.
 
-Files go to the shared folder under names of their own for each task attempt; only files that a finished attempt lists
+A task holds the numbers of one file and the encoder's list of one document's ids, so memory is bounded by a
+file and a document. Files go to the shared folder under names of their own for each task attempt; only files that a finished attempt lists
 count, so a lost executor leaves none half-counted. A file has at most FILE_TOKENS tokens and one document more.
 
 Defined cases: null and empty texts have no token but a separator, so a count of 0; tokens after a file's last separator
-belong to no document, tails() reports them; repeated rows are counted for themselves; the separator's text
+belong to no document, tails() reports them; a vocabulary that holds the separator's id is refused; repeated rows are counted for themselves; the separator's text
 in a document is ordinary text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.common import own_dir, stored
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = os.environ.get("QUILLSPAN_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 EOD = 50256
 FILE_TOKENS = 4_000_000
 BLOCK = 1 << 16
@@ -37,6 +40,7 @@ RUN = 256
 LISTED = "path string, n_docs long, n_tokens long, doc_ids array<long>"
 
 
+@functools.cache
 def ranks(vocabulary: str) -> dict[bytes, int]:
     with open(vocabulary, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -55,14 +59,30 @@ def id_type(vocabulary: str, eod: int) -> str:
     return "<u2" if max(eod, *ranks(vocabulary).values()) < 1 << 16 else "<u4"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and authority that the driver resolves it to, so that executors don't guess."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def store_of(folder: str):
+    """(file system, path in it) of a qualified folder, on any process; s3a is s3 there."""
+    from pyarrow import fs
+
+    scheme, mark, rest = folder.partition("://")
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else folder)
+
+
 def write_flat(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, eod: int = EOD, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the files; returns the list of them with the doc_ids in their order, as a stored table."""
+    if eod in ranks(vocabulary).values():
+        raise ValueError(f"the vocabulary holds the separator {eod} as a token")
     kind = id_type(vocabulary, eod)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         enc = encoder(vocabulary)
         parts, ids, n = [], [], 0
 
@@ -76,10 +96,10 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, eod:
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = [*pieces(enc, text.as_py() or ""), eod]
-                parts.append(np.array(tokens, kind).tobytes())
+                own = np.array(pieces(enc, text.as_py() or ""), kind)
+                parts += [own.tobytes(), np.array([eod], kind).tobytes()]
                 ids.append(i)
-                n += len(tokens)
+                n += len(own) + 1
                 if n >= file_tokens:
                     yield close()
                     parts, ids, n = [], [], 0
@@ -103,9 +123,7 @@ def scan(spark: SparkSession, folder: str, paths: DataFrame, eod: int = EOD, blo
     blocks = sizes.withColumn("block", F.explode(F.expr(f"sequence(0L, greatest(0L, (length - 1) div {block}))"))).repartition("path", "block")
 
     def search(batches):
-        from pyarrow import fs
-
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = store_of(folder)
         for batch in batches:
             for path, length, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_file(path) as f:
@@ -148,12 +166,17 @@ def tails(run: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, eod: int = EOD) -> DataFrame:
-    """doc_id and n_tokens of every row: flat files are written, scanned for separators and removed from the result's view."""
+    """doc_id and n_tokens of every row: flat files are written and scanned for separators, then removed.
+
+    The vocabulary must not hold the separator's id: its places would count as ends of documents.
+    """
     spark = docs.sparkSession
-    folder = f"{own_dir(spark)}/flat-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{own_dir(spark)}/flat-{uuid.uuid4().hex}")
     made = spark._jvm.org.apache.hadoop.fs.Path(folder)
     made.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(made)
     listed = write_flat(docs, folder, vocabulary, eod)
     names = listed.select("path", F.posexplode("doc_ids").alias("nth", "doc_id"))
     counts = scan(spark, folder, listed, eod, kind=id_type(vocabulary, eod))
+    store = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(made, True)  # the scan's findings are a stored table; nothing reads the files again
     return names.join(counts, (names.path == counts.path) & (names.nth == counts.nth), "left").select("doc_id", "n_tokens")
