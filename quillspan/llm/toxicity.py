@@ -19,6 +19,7 @@ the name of an added one gives way; other extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -87,15 +88,34 @@ def noisy_or(bags: list[set[bytes]], weights: Weights, bias: float) -> float:
 def instances(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The sentence and the word (a number) of every instance's word, the document of every sentence, and the word and the bin of every feature."""
     number: dict[bytes, int] = {}
-    s, w, d = [], [], []
+    s, w, d = array("i"), array("i"), array("i")
     for i, text in enumerate(texts):
         for words in bag(text):
-            w += [number.setdefault(word, len(number)) for word in sorted(words)]
+            w.extend([number.setdefault(word, len(number)) for word in sorted(words)])
             s.append(len(words))
             d.append(i)
-    bins = [features(word) for word in number]
-    of, flat = np.repeat(np.arange(len(bins)), [len(b) for b in bins]), np.array([x for b in bins for x in b], np.int64)
-    return np.repeat(np.arange(len(d)), s), np.array(w, np.int64), np.array(d, np.int64), of, flat
+    size, flat = array("i"), array("i")
+    for word in number:
+        bins = features(word)
+        size.append(len(bins))
+        flat.extend(bins)
+    plain = lambda x: np.array(x, np.int32)
+    return np.repeat(np.arange(len(d), dtype=np.int32), plain(s)), plain(w), plain(d), np.repeat(np.arange(len(size), dtype=np.int32), plain(size)), plain(flat)
+
+
+def seen_in(s: np.ndarray, word: np.ndarray, d: np.ndarray, of: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The number of documents that hold each bin; some hundred documents at a time."""
+    size, begin = np.bincount(of), np.flatnonzero(np.diff(of, prepend=-1))
+    seen, doc = np.zeros(1 << BITS, np.int64), d[s]
+    for lo in range(0, int(d[-1]) + 1, 256):
+        a, b = np.searchsorted(doc, [lo, lo + 256])
+        pair = np.unique((doc[a:b].astype(np.int64) << 32) | word[a:b])
+        which = pair & 0xFFFFFFFF
+        n = size[which]
+        at = np.repeat(begin[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        held = np.unique((np.repeat(pair >> 32, n) << BITS) | flat[at])
+        seen += np.bincount(held & ((1 << BITS) - 1), minlength=1 << BITS)
+    return seen
 
 
 def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
@@ -105,13 +125,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     if not len(d) or not any(labels):
         return full, START * 10
     n, n_words = len(d), int(of[-1]) + 1
-    # documents with a feature: its words' documents, each pair once
-    pair = np.unique(d[s] * n_words + word)
-    size, begin = np.bincount(of), np.flatnonzero(np.diff(of, prepend=-1))
-    doc, which = pair // n_words, pair % n_words
-    at = np.repeat(begin[which] - np.cumsum(size[which]) + size[which], size[which]) + np.arange(size[which].sum())
-    seen = np.bincount(np.unique((np.repeat(doc, size[which]) << BITS) | flat[at]) & ((1 << BITS) - 1), minlength=1 << BITS)
-    used = np.flatnonzero(seen >= MIN_DOCS)
+    used = np.flatnonzero(seen_in(s, word, d, of, flat) >= MIN_DOCS)
     code = np.full(1 << BITS, -1)
     code[used] = np.arange(len(used))
     of, b = of[code[flat] >= 0], code[flat[code[flat] >= 0]]
