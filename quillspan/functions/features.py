@@ -48,11 +48,12 @@ def guarded_ratio(num: str, minuend: str, subtrahend: Column, floor: float = 1e-
 
 
 def telemetry_features(df: DataFrame, temperatures: list[str], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Month parts, cyclic month, radians, row-wise temperature mean and range, distance, load ratio, device keys."""
+    """Month parts, cyclic month, radians, row-wise temperature mean and range, distance, load ratio, month keys of the device's type and of x3 (where those are given)."""
     present = [t for t in temperatures if t in df.columns]
     year, month = split_month("month_key")
     cos, sin = cyclic(month.cast("double"), 12)
     out = df.withColumns({"year": year, "month": month, "month_cos": cos, "month_sin": sin, "lat_rad": F.radians(lat), "lon_rad": F.radians(lon)})
     out = out.withColumns({"avg_temp": row_mean(*present), "temp_range": row_range(*present), "distance_km": distance_km(lat, lon)})
     out = out.withColumn("load_ratio", guarded_ratio("x1", "t1", F.col("avg_temp")))
-    return out.withColumn("device_month", F.concat_ws("_", F.col("deviceId").cast("string"), F.col("month").cast("string")))
+    joined = lambda c: F.concat_ws("_", F.col(c).cast("string"), F.col("month").cast("string"))
+    return out.withColumns({name: joined(c) for name, c in (("device_month", "deviceType"), ("curve_month", "x3")) if c in df.columns})

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.signal import SAMPLES
+
 LEADS = (("I", "AVR", "V1", "V4"), ("II", "AVL", "V2", "V5"), ("III", "AVF", "V3", "V6"))
 MARGIN = 0.05
 LEAST_COLUMNS = 10
@@ -89,12 +91,12 @@ def column_envelope(df: DataFrame, keys: list[str], image: str, lit_over: float
 def trace(envelope: DataFrame, keys: list[str], least: int = LEAST_COLUMNS) -> DataFrame:
     """(keys, n_valid, first_x, last_x, signal): the mid line from the first valid column to the last, null in gaps.
 
-    Fewer than `least` valid columns give a null signal, which stands for zeros.
+    Fewer than `least` valid columns give a signal of SAMPLES zeros.
     """
     pairs = F.map_from_entries(F.collect_list(F.struct("x", "mid")))
     out = envelope.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_valid"), F.min("x").alias("first_x"), F.max("x").alias("last_x"), pairs.alias("__m"))
     line = F.transform(F.sequence("first_x", "last_x"), lambda x: F.try_element_at("__m", x))
-    return out.withColumn("signal", F.when(F.col("n_valid") >= least, line)).drop("__m")
+    return out.withColumn("signal", F.when(F.col("n_valid") >= least, line).otherwise(F.array_repeat(F.lit(0.0), SAMPLES))).drop("__m")
 
 
 def deskew_angle(image: np.ndarray, limit: float = 15.0, step: float = 0.25) -> float:

@@ -21,26 +21,28 @@ def scores(docs: DataFrame, doc_key: str, doc_tokens: Column, queries: DataFrame
     """(query_key, doc_key, score) of the pairs that share a term.
 
     A query term counts as often as it stands. patched: negative inverse frequencies become a quarter of the mean one.
-    The corpus's terms are cut to the queries' by a semi-join before the postings are shuffled.
+    Documents are split into words once, their length stays with their words, and words that no query has are dropped
+    before postings are counted and shuffled (but for the patched mean, which is over all words' frequencies).
     """
-    lengths = docs.select(F.col(doc_key), F.size(doc_tokens).cast("long").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     qtf = term_counts(queries, query_key, query_tokens).withColumnRenamed("tf", "qtf")
-    tf = term_counts(docs, doc_key, doc_tokens)
-    dl = tf.groupBy(doc_key).agg(F.sum("tf").alias("dl"))
+    asked = qtf.select("term").distinct()
+    words = docs.select(F.col(doc_key), doc_tokens.alias("words")).select(doc_key, "words", F.size("words").cast("long").alias("dl"))
+    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    each = words.select(doc_key, "dl", F.explode("words").alias("term")).join(asked, "term", "left_semi")
+    tf = each.groupBy(doc_key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     if patched:
-        df = document_frequency(tf, doc_key).crossJoin(F.broadcast(stats))  # one row
+        seen = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = seen.crossJoin(F.broadcast(stats))  # one row
         idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         df = df.withColumn("idf", idf)
         mean = df.agg(F.avg("idf").alias("mean_idf"))
         df = df.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("idf"))).drop("mean_idf")
     else:
-        df = document_frequency(tf.join(qtf.select("term").distinct(), "term", "left_semi"), doc_key).crossJoin(F.broadcast(stats))
+        df = document_frequency(tf, doc_key).crossJoin(F.broadcast(stats))
         df = df.withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     weighted = qtf.join(df, "term").select(query_key, "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(weighted, "term").join(dl, doc_key)
-    return hits.groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
+    return tf.join(weighted, "term").groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, query_key: str, doc_key: str, k: int, least: float = 0.0, digits: int | None = None) -> DataFrame:

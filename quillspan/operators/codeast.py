@@ -1,44 +1,54 @@
 """Facts about Python source: imports, symbols, definitions, skeletons.
 
-One parse gives everything (analyse); the Arrow UDF at the end hands it to Spark as one struct, so a file is parsed once
-however many of its facts a plan uses.
+The Arrow UDF at the end (analyse) hands all facts of a file to Spark as one struct. The last trees are kept, so a file is
+parsed once however many of its facts are asked for one after the other.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+import sys
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Base classes that are never looked up.
-BUILTIN_BASES = frozenset("object Exception BaseException ValueError TypeError RuntimeError KeyError ABC Enum Protocol NamedTuple TypedDict".split())
+BUILTIN_BASES = frozenset("object Exception BaseException type dict list set tuple str int float bool".split())
+# Modules of older standard libraries; the present ones come from the interpreter.
+OLD_MODULES = frozenset("aifc asynchat asyncore audioop binhex cgi cgitb chunk crypt distutils formatter imghdr imp lib2to3 mailcap nis nntplib ossaudiodev pipes smtpd sndhdr sunau telnetlib test uu xdrlib".split())
 _WORD = re.compile(r"[a-zA-Z_]\w*")
 _FROM = re.compile(r"^from\s+(\.*)(\S*)\s+import\s+(.+)")
 _IMPORT = re.compile(r"^import\s+(.+)")
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def parse_leniently(source: str) -> ast.Module | None:
-    """The tree of a source that may be cut off: as it is, with a body added, or from its first definition on."""
+def is_stdlib(module: str) -> bool:
+    """Whether the first part of a module's name is the standard library's."""
+    top = module.split(".")[0]
+    return top in sys.stdlib_module_names or top in OLD_MODULES
+
+
+@lru_cache(maxsize=8)
+def _strict(source: str) -> ast.Module | None:
+    try:
+        return ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
 
-    def attempts():
-        yield source
-        yield source + "\n    pass\n"
-        lines = source.splitlines()
-        at = next((i for i, x in enumerate(lines) if x.strip().startswith(("class ", "def ", "async def "))), None)
-        if at is not None:
-            yield "\n".join(lines[at:])
 
-    for text in attempts():
-        try:
-            return ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            continue
-    return None
+@lru_cache(maxsize=8)
+def parse_leniently(source: str) -> ast.Module | None:
+    """The tree of a source that may be cut off: as it is, with a body added, or of the lines before its first definition."""
+    tree = _strict(source) or _strict(source + "\n    pass\n")
+    if tree is None:
+        lines = source.split("\n")
+        starts = (i for i, x in enumerate(lines) if x.strip().startswith(("class ", "def ", "async def ")))
+        tree = _strict("\n".join(lines[: next(starts, len(lines))]))
+    return tree
 
 
 def imports(source: str) -> list[dict]:
@@ -48,10 +58,10 @@ def imports(source: str) -> list[dict]:
     if tree is None:
         for line in map(str.strip, source.split("\n")):
             if m := _FROM.match(line):
-                names = [p.split()[0] for p in m[3].strip("() ").split(",") if p.split()]
+                names = [p.strip().split(" as ")[0] for p in m[3].split(",")]
                 out.append({"module": m[2], "names": names, "is_relative": bool(m[1]), "level": len(m[1])})
             elif m := _IMPORT.match(line):
-                out += [{"module": p.split()[0], "names": [], "is_relative": False, "level": 0} for p in m[1].split(",") if p.split()]
+                out += [{"module": p.strip().split(" as ")[0].strip(), "names": [], "is_relative": False, "level": 0} for p in m[1].split(",")]
         return out
     for node in ast.walk(tree):
         match node:
@@ -109,13 +119,6 @@ class Definition:
     owner: str = field(default="", compare=False)
 
 
-def _strict(source: str) -> ast.Module | None:
-    try:
-        return ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-
-
 def definitions(source: str, methods: bool = False) -> list[Definition]:
     """Top-level functions, classes and assigned names; decorators are left out. methods: those of the classes too."""
     tree, lines, out = _strict(source), source.splitlines(), []
@@ -139,24 +142,33 @@ def definitions(source: str, methods: bool = False) -> list[Definition]:
 
 
 def skeleton(source: str) -> str:
-    """Imports, assignments and headers with `...` for bodies; a header has its first line only. The source if it can't be parsed or nothing is left."""
-    tree, lines, out = _strict(source), source.splitlines(), []
+    """Imports, plain assignments (those of classes too) and headers with `...` for bodies, a line end between them; a header has its first line only.
+
+    The source if it can't be parsed or nothing is left.
+    """
+    tree, lines = _strict(source), source.splitlines(keepends=True)
     if tree is None:
         return source
 
-    def header(node: ast.stmt) -> list[str]:
-        line = lines[node.lineno - 1]
-        return [line, f"{' ' * (len(line) - len(line.lstrip()) + 4)}..."]
+    def header(node: ast.stmt) -> str:
+        return f"{lines[node.lineno - 1].rstrip()}\n{' ' * (node.col_offset + 4)}..."
 
-    for node in tree.body:
-        if isinstance(node, (ast.Import, ast.ImportFrom, ast.Assign, ast.AnnAssign)):
-            out += lines[node.lineno - 1 : node.end_lineno]
-        elif isinstance(node, _DEF):
-            out += header(node)
-        elif isinstance(node, ast.ClassDef):
-            inner = [x for n in node.body if isinstance(n, _DEF) for x in header(n)]
-            out += [lines[node.lineno - 1], *(inner or ["    ..."])]
-    return "\n".join(out) or source
+    def whole(node: ast.stmt) -> str:
+        return "".join(lines[node.lineno - 1 : node.end_lineno])
+
+    def bones(node: ast.stmt) -> str | None:
+        match node:
+            case ast.Import() | ast.ImportFrom() | ast.Assign():
+                return whole(node)
+            case ast.FunctionDef() | ast.AsyncFunctionDef():
+                return header(node) + "\n"
+            case ast.ClassDef(body=body):
+                inner = [header(n) if isinstance(n, _DEF) else whole(n).rstrip() for n in body if isinstance(n, (*_DEF, ast.Assign))]
+                return "\n".join([lines[node.lineno - 1].rstrip(), *inner]) + "\n"
+        return None
+
+    kept = "\n".join(x for n in tree.body if (x := bones(n)) is not None)
+    return kept if kept.strip() else source
 
 
 def without_docstrings(source: str) -> str:
@@ -214,3 +226,13 @@ def _facts(source: pd.Series) -> pd.DataFrame:
 def analyse(source: str | Column) -> Column:
     """All facts of a source in one struct."""
     return F.pandas_udf(_facts, FACTS)(F.col(source) if isinstance(source, str) else source)
+
+
+def snippets_of(source: str | Column, names: str | Column) -> Column:
+    """relevant_snippets() of a column of sources and a column of arrays of names."""
+
+    @F.pandas_udf("string")
+    def found(source: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([relevant_snippets(s or "", set(n) if n is not None else set()) for s, n in zip(source, names, strict=True)], dtype=object)
+
+    return found(source, names)

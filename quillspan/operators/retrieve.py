@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import codeast
 from quillspan.operators.pack import budget_chars
 
+# The mark before a file, and words that say nothing about the cursor.
 HEADER = "<|file_sep|>"
 STOP = frozenset({"self", "cls", "None", "True", "False"})
 _TOKEN = re.compile(r"[a-zA-Z_]\w*")
@@ -29,20 +30,16 @@ class Variant:
     core: int
     extended: int
     k: int
-    bases: bool
-    import_names: bool
-    methods: bool
-    chunked: bool
-    modified: bool
-    threshold: float | None  # BM25 runs only while less than this share is used
-    bm25_first: bool
+    bases: bool  # base classes and modified files count, and retrieved files stand before the core
+    chunked: bool  # imported names count, methods are found, BM25 ranks definitions, imported files go by the cursor's words
+    threshold: float = 1.0  # BM25 runs only while less than this share is used
 
 
 # Budgets in tokens times 3.8 characters, and what the variants differ in.
 VARIANTS = {
-    "v1": Variant(budget_chars(6500), budget_chars(14000), 5, True, False, False, False, True, None, True),
-    "v2": Variant(budget_chars(7500), budget_chars(7500), 3, False, False, False, False, False, 0.8, False),
-    "v5": Variant(budget_chars(6500), budget_chars(14000), 10, True, True, True, True, True, None, True),
+    "v1": Variant(budget_chars(6500), budget_chars(14000), 5, True, False),
+    "v2": Variant(budget_chars(7500), budget_chars(7500), 3, False, False, 0.8),
+    "v5": Variant(budget_chars(6500), budget_chars(14000), 10, True, True),
 }
 
 
@@ -71,7 +68,9 @@ def rank(query: Counter, corpus: list[Counter], k1: float = 1.5, b: float = 0.75
 
 
 def resolve_module(record: dict, path: str, files: dict[str, str]) -> str | None:
-    """Exact candidate first, then the first file in scan order that ends with one."""
+    """Exact candidate first, then the first file in scan order that ends with one; the standard library is no file."""
+    if not record["level"] and codeast.is_stdlib(record["module"]):
+        return None
     parts = [p for p in record["module"].split(".") if p]
     folder = posixpath.dirname(path)
     for _ in range(max(record["level"] - 1, 0)):
@@ -81,103 +80,177 @@ def resolve_module(record: dict, path: str, files: dict[str, str]) -> str | None
     return next((w for w in wanted if w in files), None) or next((f for w in wanted for f in files if f.endswith(w)), None)
 
 
-class Budget:
-    def __init__(self):
-        self.entries: list[tuple[str, str]] = []
-        self.used = 0
+class Zone:
+    """Entries (path, text) under a budget of characters, with their headers."""
 
-    def fits(self, path: str, text: str, most: int) -> bool:
-        return self.used + len(HEADER) + len(path) + 1 + len(text) <= most
+    def __init__(self, most: int):
+        self.most, self.used, self.entries = most, 0, []
 
-    def add(self, path: str, text: str) -> None:
-        self.entries.append((path, text))
-        self.used += len(HEADER) + len(path) + 1 + len(text)
+    @staticmethod
+    def cost(path: str, text: str) -> int:
+        return len(HEADER) + len(path) + 1 + len(text)
 
+    def take(self, path: str, text: str) -> bool:
+        fits = self.used + self.cost(path, text) <= self.most
+        if fits:
+            self.entries.append((path, text))
+            self.used += self.cost(path, text)
+        return fits
 
-def context_of(point: dict, files: dict[str, str], v: Variant) -> str:
-    """The context of one point. Files come in path order; names are looked up in name order."""
+    @property
+    def full(self) -> bool:
+        return self.used >= self.most
+
+
+class Repository:
+    """The files of a repository in scan (path) order; what is made of a file once serves all points."""
+
+    def __init__(self, files: dict[str, str]):
+        self.files, self._tokens, self._bones, self._chunks = files, {}, {}, {}
+
+    def _once(self, kept: dict, path: str, make):
+        if path not in kept:
+            kept[path] = make()
+        return kept[path]
+
+    def tokens(self, path: str) -> Counter:
+        return self._once(self._tokens, path, lambda: Counter(tokens(self.files[path])))
+
+    def bones(self, path: str) -> str:
+        return self._once(self._bones, path, lambda: codeast.without_docstrings(codeast.skeleton(self.files[path])))
+
+    def chunks(self, path: str) -> list[tuple[str, Counter]]:
+        return self._once(self._chunks, path, lambda: [(x["text"], Counter(tokens(x["text"]))) for x in codeast.chunks(path, self.files[path])])
+
+    def snippets(self, path: str, names: set[str], v: Variant) -> str:
+        return codeast.without_docstrings(codeast.relevant_snippets(self.files[path], names, v.chunked))
+
+
+@dataclass
+class Asked:
+    """What a point asks for."""
+
+    paths: list[str]
+    needed: set[str]
+    classes: set[str]
+    near: set[str]
+
+
+def asked(point: dict, files: dict[str, str], v: Variant) -> Asked:
     prefix, suffix = point["prefix"] or "", point.get("suffix") or ""
-    others = {p: c for p, c in files.items() if p != point["path"]}
-    records = codeast.imports(prefix) + codeast.imports(suffix)
-    paths = list(dict.fromkeys(p for r in records if (p := resolve_module(r, point["path"], others))))
-    needed = codeast.used_symbols(prefix) | codeast.used_symbols(suffix) | codeast.type_hints(prefix)
-    bases = codeast.base_classes(prefix) if v.bases else set()
-    needed |= bases
-    if v.import_names:
-        needed |= {n for r in records for n in r["names"] if len(n) > 1 and n != "*"}
-    left, included = Budget(), set()
-    snippets = {}
-    for p in paths:
-        text = codeast.without_docstrings(codeast.relevant_snippets(others[p], needed, v.methods))
-        tiny_init = p.endswith("__init__.py") and (len(text) < 50 or not codeast.definitions(others[p]))
-        if len(text.strip()) >= 30 and not tiny_init:
-            snippets[p] = text
-    if v.chunked:
-        near = set(_TOKEN.findall(prefix[-500:] + " " + suffix[:500])) - STOP
-        paths = sorted(snippets, key=lambda p: sum(s in snippets[p] for s in near))
-        included |= set(paths)
-    elif not v.modified:
-        included |= set(paths)
-    for p in (p for p in paths if p in snippets):
-        if left.fits(p, snippets[p], v.core):
-            left.add(p, snippets[p])
+    records = codeast.imports(prefix) + (codeast.imports(suffix) if suffix else [])
+    found = (resolve_module(r, point["path"], files) for r in records)
+    paths = list(dict.fromkeys(p for p in found if p and p != point["path"]))
+    used, hints = codeast.used_symbols(prefix) | (codeast.used_symbols(suffix) if suffix else set()), codeast.type_hints(prefix)
+    bases = codeast.base_classes(prefix) | (codeast.base_classes(suffix) if suffix else set()) if v.bases else set()
+    names = {n for r in records for n in r["names"] if len(n) > 1 and n != "*"} if v.chunked else set()
+    classes = {n for n in hints | bases | names if len(n) > 2} if v.bases else hints - {n for n in used if len(n) <= 2}
+    return Asked(paths, used | hints | bases | names, classes, set(_TOKEN.findall(prefix[-500:])) - STOP)
+
+
+def imported_zone(a: Asked, repo: Repository, active: str, v: Variant) -> tuple[Zone, set[str]]:
+    """The needed parts of imported files, and the files that count as included."""
+    texts = {}
+    for p in a.paths:
+        source = repo.files[p]
+        if not p.endswith("__init__.py") or (len(source) >= 50 and codeast.definitions(source)):
+            text = repo.snippets(p, a.needed, v)
+            if text.strip():
+                texts[p] = text
+    order = sorted(texts, key=lambda p: sum(w in texts[p] for w in a.near)) if v.chunked else list(texts)
+    zone, included = Zone(v.core), set(order) if v.chunked else set() if v.bases else set(a.paths)
+    for p in order:
+        if zone.full and not v.chunked:
+            break
+        if zone.take(p, texts[p]):
             included.add(p)
             continue
-        room = v.core - left.used
-        short = codeast.skeleton(others[p])
-        if room > 200 and len(HEADER) + len(p) + 1 + len(short) < room:
-            left.add(p, short)
+        room = zone.most - zone.used
+        if room > 200 and zone.cost(p, repo.bones(p)) < room:
+            zone.take(p, repo.bones(p))
             included.add(p)
         break
-    wanted = bases | codeast.type_hints(prefix)
-    if not v.bases:
-        wanted = codeast.type_hints(prefix) - {s for s in codeast.used_symbols(prefix) if len(s) <= 2}
-    for name in sorted(n for n in wanted if len(n) > 2):
-        for p, c in others.items():
-            if p in included:
-                break  # the first file already in ends the search for this name
-            if f"class {name}" in c:
-                text = codeast.relevant_snippets(c, {name}, v.methods)
-                if left.fits(p, text, v.core):
-                    left.add(p, text)
-                    included.add(p)
-                break
-    if v.modified:
-        for m in point.get("modified") or []:
-            p = m if m in others else next((f for f in others if f.endswith(m)), None)
-            if p and p not in included:
-                text = codeast.skeleton(others[p])
-                if len(text.strip()) >= 50 and left.fits(p, text, v.extended):
-                    left.add(p, text)
-                    included.add(p)
-    found = Budget()
-    found.used = left.used
-    if v.threshold is None or left.used < v.threshold * v.extended:
-        query = weighted_query(prefix, suffix)
-        if v.chunked:
-            corpus = [(p, x["text"]) for p, c in others.items() if p not in included for x in codeast.chunks(p, c)]
-        else:
-            corpus = [(p, c) for p, c in others.items() if p not in included and c.strip()]
-        scores = rank(query, [Counter(tokens(t)) for _, t in corpus])
-        order = sorted(range(len(corpus)), key=lambda i: (scores[i], i if v.chunked else corpus[i][0]), reverse=True)
-        seen: set[str] = set()
-        for i in order[: 3 * v.k if v.chunked else v.k]:
-            p, text = corpus[i]
-            if scores[i] <= 0 or (v.chunked and len(seen) >= v.k and p not in seen):
-                break
-            text = text if v.chunked else codeast.without_docstrings(codeast.relevant_snippets(text, needed, v.methods))
-            if found.fits(p, text, v.extended):
-                found.add(p, text)
-                seen.add(p)
-    entries = [*reversed(found.entries), *left.entries] if v.bm25_first else [*left.entries, *found.entries]
+    return zone, included
+
+
+def class_files(zone: Zone, included: set[str], a: Asked, repo: Repository, active: str, v: Variant) -> None:
+    """Files with a wanted class, in scan order; the first file that is already in, or a full zone, ends the search."""
+    for p, source in repo.files.items() if a.classes else ():
+        if p == active:
+            continue
+        if p in included or zone.full:
+            return
+        name = next((n for n in sorted(a.classes) if f"class {n}" in source), None)
+        if name is not None and zone.take(p, repo.snippets(p, {name}, v) if v.bases else repo.bones(p)):
+            included.add(p)
+
+
+def modified_files(zone: Zone, included: set[str], modified: list[str], a: Asked, repo: Repository, active: str, v: Variant) -> None:
+    for m in modified:
+        if zone.full:
+            return
+        if m in included or m == active:
+            continue
+        p = m if m in repo.files else next((f for f in repo.files if f != active and f.endswith(m)), None)
+        if p is not None:
+            text = repo.snippets(p, a.needed, v)
+            if len(text.strip()) >= 30 and zone.take(p, text):
+                included.add(p)
+
+
+def ranked_files(zone: Zone, included: set[str], point: dict, repo: Repository, v: Variant) -> None:
+    """The best by BM25 that aren't in: skeletons of files, or (of k files) definitions, without docstrings, of 50 characters at least."""
+    query = weighted_query(point["prefix"] or "", point.get("suffix") or "")
+    rest = [p for p in repo.files if p != point["path"] and p not in included and not p.endswith("__init__.py")]
+    if v.chunked:
+        corpus = [(p, text, words) for p in rest for text, words in repo.chunks(p)]
+    else:
+        corpus = [(p, None, repo.tokens(p)) for p in rest]
+    scores = rank(query, [words for *_, words in corpus])
+    order = sorted(range(len(corpus)), key=lambda i: (scores[i], i if v.chunked else corpus[i][0]), reverse=True)
+    seen: set[str] = set()
+    for i in order[: 3 * v.k if v.chunked else v.k]:
+        if scores[i] <= 0 or zone.full:
+            return
+        p, text, _ = corpus[i]
+        text = repo.bones(p) if text is None else codeast.without_docstrings(text)
+        if len(text.strip()) >= 50 and zone.take(p, text):
+            seen.add(p)
+            if v.chunked and len(seen) >= v.k:
+                return
+
+
+def context_of(point: dict, files: dict[str, str] | Repository, v: Variant) -> str:
+    """The context of one point. Files come in path order; names are looked up in name order."""
+    repo = files if isinstance(files, Repository) else Repository(files)
+    active = point["path"]
+    a = asked(point, repo.files, v)
+    core, included = imported_zone(a, repo, active, v)
+    if not core.full:
+        class_files(core, included, a, repo, active, v)
+    if not v.bases:  # one zone: what BM25 finds goes on where the core ends
+        if core.used < v.threshold * v.extended:
+            ranked_files(core, included, point, repo, v)
+        entries = core.entries
+    else:
+        rest = Zone(v.extended - core.used)
+        modified_files(rest, included, point.get("modified") or [], a, repo, active, v)
+        if not rest.full:
+            ranked_files(rest, included, point, repo, v)
+        entries = [*rest.entries, *core.entries]  # what is trimmed first stands first
     return "".join(f"{HEADER}{p}\n{t}" for p, t in entries)
 
 
+def line_count(text: str) -> int:
+    """Lines as a reader of lines counts them: an end of line at the end opens no other."""
+    return len(re.findall(r"\r\n|\r|\n", text)) + (text != "" and text[-1] not in "\r\n")
+
+
 def baseline_path(point: dict, files: dict[str, str], strategy: str, seed: int = 42) -> str | None:
     """A file for the context: `random`, `recent` (a modified one, else random) or `bm25` (the best by BM25, first of equals)."""
     from hashlib import md5
 
-    usable = {p: c for p, c in files.items() if c.count("\n") >= 9}
+    usable = {p: c for p, c in files.items() if line_count(c) >= 10}
     pool = sorted(usable)
     if strategy == "recent":
         pool = [p for p in point.get("modified") or [] if p in usable] or pool
@@ -199,7 +272,7 @@ def contexts(points: DataFrame, files: DataFrame, variant: str = "v2") -> DataFr
     v = VARIANTS[variant]
 
     def work(_, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        files = dict(sorted(zip(held["path"], held["content"].fillna(""), strict=True)))
+        files = Repository(dict(sorted(zip(held["path"], held["content"].fillna(""), strict=True))))
         rows = [(p["point_id"], context_of(p | {"modified": list(p["modified"]) if p.get("modified") is not None else []}, files, v)) for p in asked.to_dict("records")]
         return pd.DataFrame(rows, columns=["point_id", "context"])
 

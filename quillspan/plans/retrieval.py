@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.operators import bm25, codeast, pack, resolve, retrieve, split
-from quillspan.plans.registry import query, table
+from quillspan.plans.registry import query, spread, table
 
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z_][\p{L}\p{N}_]*')"
 ALNUM = r"list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]', ' ', 'g'), ' +'), lambda x: x <> '')"
@@ -30,13 +30,17 @@ def _docs(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _texts(spark, sf_dir: str) -> DataFrame:
+    return spread(_docs(spark, sf_dir).select("doc_id", "source", "text"))
+
+
 def _scored(spark, sf_dir: str, tokens, query_tokens, **options) -> DataFrame:
-    return bm25.scores(_docs(spark, sf_dir), "doc_id", tokens("text"), table(spark, sf_dir, "benchmark"), "item_id", query_tokens, **options)
+    return bm25.scores(_texts(spark, sf_dir), "doc_id", tokens("text"), table(spark, sf_dir, "benchmark"), "item_id", query_tokens, **options)
 
 
 @query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY ALL")
 def tokenize_df(spark, sf_dir):
-    tf = bm25.term_counts(_docs(spark, sf_dir), "doc_id", T.code_tokens("text"))
+    tf = bm25.term_counts(_texts(spark, sf_dir), "doc_id", T.code_tokens("text"))
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
@@ -77,11 +81,11 @@ def _cursor_halves(spark, sf_dir: str) -> DataFrame:
     + "SELECT item_id, doc_id, rank::INTEGER AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id DESC) AS rank FROM s WHERE score > 0) WHERE rank <= 3"
 )
 def bm25_cursor_weighted(spark, sf_dir):
-    s = bm25.scores(_docs(spark, sf_dir), "doc_id", T.code_tokens("text"), _cursor_halves(spark, sf_dir), "item_id", T.cursor_query("p", "s"))
+    s = bm25.scores(_texts(spark, sf_dir), "doc_id", T.code_tokens("text"), _cursor_halves(spark, sf_dir), "item_id", T.cursor_query("p", "s"))
     return bm25.top_k(s, "item_id", "doc_id", 3, digits=6).select("item_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
-CHUNKS = "chunks AS (SELECT doc_id * 100000 + k - 1 AS doc_id, lines[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE length(lines[k]) >= 30)"
+CHUNKS = "chunks AS (SELECT doc_id * 4294967296 + k - 1 AS doc_id, lines[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE length(lines[k]) >= 30)"
 
 
 @query(
@@ -91,7 +95,7 @@ CHUNKS = "chunks AS (SELECT doc_id * 100000 + k - 1 AS doc_id, lines[k] AS text
 def bm25_chunks(spark, sf_dir):
     """Lines of at least 30 characters as chunks; the 3k best for k = 10, ties to the largest chunk."""
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).where(F.length("text") >= 30)
-    chunks = lines.select((F.col("doc_id") * 100000 + F.col("k")).alias("chunk"), "text")
+    chunks = lines.select((F.col("doc_id") * (1 << 32) + F.col("k")).alias("chunk"), "text")
     s = bm25.scores(chunks, "chunk", T.code_tokens("text"), table(spark, sf_dir, "benchmark"), "item_id", T.code_tokens("text"))
     return bm25.top_k(s, "item_id", "chunk", 30, digits=6).select("item_id", "chunk", "rank", F.round("score", 4).alias("score"))
 
@@ -193,14 +197,14 @@ def resume_anti(spark, sf_dir):
 
 
 def sources(spark, sf_dir: str) -> DataFrame:
-    """Python text made of documents: an import, a class with a method, a function and a value, named by doc_id."""
+    """Python text made of whole documents: an import, a class with a method, a function and a value, named by doc_id; the class's docstring holds the document's words."""
     i = F.col("doc_id").cast("string")
-    word = F.regexp_extract("text", "[a-zA-Z]+", 0)
+    word = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " ")
     code = F.concat(
         F.lit("import os\nfrom ..pkg import helper"), i, F.lit("\n\nclass C"), i, F.lit("(Base"), i, F.lit('):\n    """'), word, F.lit('"""\n    def run(self, x: Kind'), i, F.lit("):\n        return os.path.join(x, helper"), i,
         F.lit(")\n\ndef f"), i, F.lit("(a, b=1):\n    return a\n\nVALUE = "), i, F.lit("\n"),
     )
-    return _docs(spark, sf_dir).select("doc_id", "source", code.alias("code"))
+    return _texts(spark, sf_dir).select("doc_id", "source", code.alias("code"))
 
 
 def _facts(spark, sf_dir: str) -> DataFrame:
@@ -218,7 +222,7 @@ def ast_definitions(spark, sf_dir):
     return _facts(spark, sf_dir).select("doc_id", F.explode("f.definitions").alias("d")).select("doc_id", "d.name", "d.kind", "d.start", "d.end")
 
 
-@query("""SELECT doc_id, array_to_string(['import os', 'from ..pkg import helper' || doc_id, 'class C' || doc_id || '(Base' || doc_id || '):', '    def run(self, x: Kind' || doc_id || '):', '        ...', 'def f' || doc_id || '(a, b=1):', '    ...', 'VALUE = ' || doc_id], chr(10)) AS skeleton FROM documents""")
+@query("""SELECT doc_id, array_to_string(['import os', '', 'from ..pkg import helper' || doc_id, '', 'class C' || doc_id || '(Base' || doc_id || '):', '    def run(self, x: Kind' || doc_id || '):', '        ...', '', 'def f' || doc_id || '(a, b=1):', '    ...', '', 'VALUE = ' || doc_id, ''], chr(10)) AS skeleton FROM documents""")
 def ast_skeleton(spark, sf_dir):
     return _facts(spark, sf_dir).select("doc_id", "f.skeleton")
 
@@ -228,10 +232,13 @@ def ast_docstrings(spark, sf_dir):
     return _facts(spark, sf_dir).select("doc_id", "f.stripped")
 
 
-@query("SELECT doc_id, 'a,b' AS dummy, 'Base' || doc_id AS bases, 'Kind' || doc_id AS hints FROM documents".replace("'a,b' AS dummy, ", ""))
+@query("""SELECT doc_id, 'Base' || doc_id AS bases, 'Kind' || doc_id AS hints, 'def f' || doc_id || '(a, b=1):' || chr(10) || '    return a' || chr(10) || chr(10) || 'VALUE = ' || doc_id AS snippets FROM documents""")
 def ast_snippets(spark, sf_dir):
-    f = _facts(spark, sf_dir)
-    return f.select("doc_id", F.array_join("f.bases", ",").alias("bases"), F.array_join("f.hints", ",").alias("hints"))
+    """Base classes, type hints and the definitions of two names asked for (a third isn't there)."""
+    i = F.col("doc_id").cast("string")
+    code = sources(spark, sf_dir).select("doc_id", "code", codeast.analyse("code").alias("f"))
+    found = codeast.snippets_of("code", F.array(F.lit("VALUE"), F.concat(F.lit("f"), i), F.lit("missing")))
+    return code.select("doc_id", F.array_join("f.bases", ",").alias("bases"), F.array_join("f.hints", ",").alias("hints"), found.alias("snippets"))
 
 
 def _points(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +247,7 @@ def _points(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     prefix = F.concat(F.lit("from pkg import m"), i, F.lit("\n\nclass Mine(C"), i, F.lit("):\n    def go(self, x: Kind"), i, F.lit("):\n        return f"), i, F.lit("(x"))
     points = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("point_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("repo"), F.lit("r1").alias("revision"), F.lit("main.py").alias("path"),
-        prefix.alias("prefix"), F.lit(")\n").alias("suffix"), F.array(F.concat(F.lit("pkg/m"), i, F.lit(".py"))).alias("modified"),
+        prefix.alias("prefix"), F.concat(F.lit(")\n# "), F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " "), F.lit("\n")).alias("suffix"), F.array(F.concat(F.lit("pkg/m"), i, F.lit(".py"))).alias("modified"),
     )
     return points, files
 

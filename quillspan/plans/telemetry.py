@@ -18,14 +18,14 @@ def facts(spark, sf_dir: str) -> DataFrame:
     return x.select(
         F.col("l_suppkey").alias("deviceId"), features.month_key("l_shipdate").alias("month_key"),
         F.when(year < 1996, "train").when(year == 1996, "valid").otherwise("test").alias("period"),
-        F.col("l_quantity").alias("x1"), F.col("l_extendedprice").alias("x2"), (F.col("l_suppkey") % 3).cast("double").alias("deviceType"),
+        F.col("l_quantity").alias("x1"), F.col("l_extendedprice").alias("x2"), (F.col("l_suppkey") % 3).cast("double").alias("deviceType"), (F.col("l_suppkey") % 7 + 0.5).cast("double").alias("x3"),
         F.when(F.col("l_linenumber") != 3, F.col("l_discount") * 100).alias("t1"), (F.col("l_tax") * 100).alias("t2"), F.col("l_quantity").alias("t3"), F.col("l_linenumber").cast("double").alias("t4"),
     )
 
 
 def monthly(spark, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir).withColumn("t34", F.col("t3") - F.col("t4"))
-    return rollup.rollup(rows, KEYS, ["x1", "x2", "t1", "t2", "t3", "t4", "t34"], ["x2"], ["deviceType"])
+    return rollup.rollup(rows, KEYS, ["x1", "x2", "t1", "t2", "t3", "t4", "t34"], ["x2"], ["deviceType", "x3"])
 
 
 def devices(spark, sf_dir: str) -> DataFrame:
@@ -37,14 +37,14 @@ FACTS = """
 WITH facts AS (
   SELECT l_suppkey AS deviceId, CAST(year(l_shipdate) AS VARCHAR) || '_' || CAST(month(l_shipdate) AS VARCHAR) AS month_key,
     CASE WHEN year(l_shipdate) < 1996 THEN 'train' WHEN year(l_shipdate) = 1996 THEN 'valid' ELSE 'test' END AS period,
-    l_quantity AS x1, l_extendedprice AS x2, CAST(l_suppkey % 3 AS DOUBLE) AS deviceType,
+    l_quantity AS x1, l_extendedprice AS x2, CAST(l_suppkey % 3 AS DOUBLE) AS deviceType, CAST(l_suppkey % 7 + 0.5 AS DOUBLE) AS x3,
     CASE WHEN l_linenumber <> 3 THEN l_discount * 100 END AS t1, l_tax * 100 AS t2, l_quantity AS t3, CAST(l_linenumber AS DOUBLE) AS t4
   FROM lineitem
 ), monthly AS (
   SELECT deviceId, month_key, period, count(*) AS n_rows, coalesce(sum(x1), 0) / count(*) AS x1, coalesce(sum(x2), 0) / count(*) AS x2,
     coalesce(sum(t1), 0) / count(*) AS t1, coalesce(sum(t2), 0) / count(*) AS t2, coalesce(sum(t3), 0) / count(*) AS t3, coalesce(sum(t4), 0) / count(*) AS t4,
     coalesce(sum(t3 - t4), 0) / count(*) AS t34,
-    sqrt(greatest(sum(x2 * x2) / count(*) - (sum(x2) / count(*)) * (sum(x2) / count(*)), 0)) AS x2_std, min(deviceType) AS deviceType
+    sqrt(greatest(sum(x2 * x2) / count(*) - (sum(x2) / count(*)) * (sum(x2) / count(*)), 0)) AS x2_std, min(deviceType) AS deviceType, min(x3) AS x3
   FROM facts GROUP BY ALL
 ), devices AS (
   SELECT s_suppkey AS deviceId, (40 + s_nationkey * 0.5)::DOUBLE AS latitude, (10 + s_nationkey * 0.75)::DOUBLE AS longitude FROM supplier
@@ -83,12 +83,12 @@ def rollup_joined(spark, sf_dir):
 SELECT deviceId, month_key, period, year, month, round(cos(2 * pi() * month / 12) + 1e-7::DOUBLE, 6) AS month_cos, round(sin(2 * pi() * month / 12) + 1e-7::DOUBLE, 6) AS month_sin,
   round(avg_temp + 1e-7::DOUBLE, 4) AS avg_temp, round(greatest(t1, t2, t3, t4) - least(t1, t2, t3, t4) + 1e-7::DOUBLE, 4) AS temp_range,
   round(6371 * acos(greatest(least(sin(radians(latitude)) * sin(0.9115::DOUBLE) + cos(radians(latitude)) * cos(0.9115::DOUBLE) * cos(radians(longitude) - 0.3665::DOUBLE), 1), -1)) + 1e-7::DOUBLE, 3) AS distance_km,
-  round(x1 / greatest(t1 - avg_temp, 1e-6::DOUBLE) + 1e-7::DOUBLE, 1) AS load_ratio, deviceId || '_' || month AS device_month FROM f
+  round(x1 / greatest(t1 - avg_temp, 1e-6::DOUBLE) + 1e-7::DOUBLE, 1) AS load_ratio, deviceType || '_' || month AS device_month, x3 || '_' || month AS curve_month FROM f
 """)
 def telemetry_features(spark, sf_dir):
     joined = rollup.with_dimension(monthly(spark, sf_dir), devices(spark, sf_dir), "deviceId")
     df = features.telemetry_features(joined, [f"t{i}" for i in range(1, 14)])
-    df = df.select(*KEYS, "year", "month", "month_cos", "month_sin", "avg_temp", "temp_range", "distance_km", "load_ratio", "device_month")
+    df = df.select(*KEYS, "year", "month", "month_cos", "month_sin", "avg_temp", "temp_range", "distance_km", "load_ratio", "device_month", "curve_month")
     return rounded(rounded(rounded(rounded(df, 6, "month_cos", "month_sin"), 4, "avg_temp", "temp_range"), 3, "distance_km"), 1, "load_ratio")
 
 

@@ -100,7 +100,9 @@ def repository(spark: SparkSession, root: str, language: str = "python", strict:
     base = re.sub(r"^\w+:/*", "/", root.rstrip("/")) + "/"
     path = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^" + re.escape(base), "")
     out = files.select(path.alias("path"), decoded("content").alias("content")).where("content is not null")
-    return out.where(F.size(F.split("content", "\n")) >= least_lines) if least_lines else out
+    ends = F.regexp_count("content", F.lit(r"\r\n|\r|\n"))
+    open_line = F.col("content").rlike(r"[^\r\n]\z").cast("int")  # an end of line at the end opens no other line
+    return out.where(ends + open_line >= least_lines) if least_lines else out
 
 
 def archives(spark: SparkSession, root: str, extension: str = ".py") -> DataFrame:
