@@ -70,10 +70,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage is cut and every executor can read it."""
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The folders of the tables stored so far and not released.
+_tables: list[str] = []
+
+
+def marked() -> int:
+    """A mark of the tables stored so far, for release()."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Removes the tables stored since the mark, but not those that frames of keep read."""
+    kept = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}  # folder names are unique
+    for path in _tables[mark:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _tables.remove(path)
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Removes tables made by stored() once nothing reads them any more."""
     for df in frames:
