@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontam, langid, mixing, ngramjoin, toxicity
-from quillspan.llm.common import stored
+from quillspan.llm.common import marked, release, stored
 
 #: Documents with a toxicity score of as much go.
 TOXIC = 0.5
@@ -60,7 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what a stage has stored for itself, and its input, goes once its rows are written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), marked()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, mark, docs)  # the stage's input too, but for the documents themselves
     return docs
