@@ -82,3 +82,29 @@ def class_probabilities(models: dict, wide: DataFrame, features: str, key: str,
             made[c] = F.get(vector_to_array(f"__p_{c}"), F.lit(1))
     rows = F.array(*(F.struct(F.lit(c).alias("class_id"), p.alias("prob")) for c, p in made.items()))
     return out.select(key, F.explode(rows).alias("__r")).select(key, "__r.class_id", "__r.prob")
+
+
+def save(model, path: str, mode: str = "overwrite") -> None:
+    """A fitted pipeline or model, or a dictionary of them, each under its name in a folder of its own."""
+    if isinstance(model, dict):
+        for name, each in model.items():
+            save(each, f"{path}/{name}", mode)
+        return
+    writer = model.write().overwrite() if mode == "overwrite" else model.write()
+    writer.save(path)
+
+
+def load(path: str, names: list[str] | None = None):
+    """What save() wrote: a fitted pipeline, or the models of `names`, as a dictionary."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import GBTClassificationModel
+
+    return PipelineModel.load(path) if names is None else {n: GBTClassificationModel.load(f"{path}/{n}") for n in names}
+
+
+def batch_predictor(make_predict, shape: list[int], result: str = "array<float>", batch: int = 64):
+    """A column function over batches of arrays; make_predict() loads the network once for each worker and returns a function of a batch of tensors of the shape."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import _parse_datatype_string
+
+    return predict_batch_udf(make_predict, return_type=_parse_datatype_string(result), batch_size=batch, input_tensor_shapes=[shape])
