@@ -82,10 +82,16 @@ def _columns(first: Column, n: Column):
 
 
 def column_envelope(df: DataFrame, keys: list[str], image: str, lit_over: float = 0.0) -> DataFrame:
-    """(keys, x, height, y_min, y_max, mid) of the columns that have a lit pixel; mid = height - (y_min + y_max) / 2."""
-    pixels = df.select(*keys, F.size(image).alias("height"), F.posexplode(image).alias("y", "__row"))
-    pixels = pixels.select(*keys, "height", "y", F.posexplode("__row").alias("x", "v")).where(F.col("v") > lit_over)
-    return pixels.groupBy(*keys, "x", "height").agg(F.min("y").alias("y_min"), F.max("y").alias("y_max")).withColumn("mid", F.col("height") - (F.col("y_min") + F.col("y_max")) / 2)
+    """(keys, x, height, y_min, y_max, mid) of the columns that have a lit pixel; mid = height - (y_min + y_max) / 2.
+
+    Lit rows of a column are found within the image's row; only columns are grouped, so images of equal keys are one.
+    """
+    img = F.col(image)
+    rows, wide = F.sequence(F.lit(0), F.size(img) - 1), F.array_max(F.transform(img, F.size))
+    lit = F.transform(F.sequence(F.lit(0), wide - 1), lambda x: F.filter(rows, lambda y: F.get(F.get(img, y), x) > lit_over))
+    columns = df.where(F.size(img) > 0).select(*keys, F.size(img).alias("height"), F.posexplode(lit).alias("x", "__ys")).where(F.size("__ys") > 0)
+    ends = columns.select(*keys, "x", "height", F.element_at("__ys", 1).alias("y_min"), F.element_at("__ys", -1).alias("y_max"))
+    return ends.groupBy(*keys, "x", "height").agg(F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max")).withColumn("mid", F.col("height") - (F.col("y_min") + F.col("y_max")) / 2)
 
 
 def trace(envelope: DataFrame, keys: list[str], least: int = LEAST_COLUMNS) -> DataFrame:

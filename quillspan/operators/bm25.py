@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
+#: Rows (query, term) that go to all tasks at most.
+MOST_TERMS = 500_000
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -21,15 +23,21 @@ def scores(docs: DataFrame, doc_key: str, doc_tokens: Column, queries: DataFrame
     """(query_key, doc_key, score) of the pairs that share a term.
 
     A query term counts as often as it stands. patched: negative inverse frequencies become a quarter of the mean one.
-    Documents are split into words once, their length stays with their words, and words that no query has are dropped
-    before postings are counted and shuffled (but for the patched mean, which is over all words' frequencies).
+    Documents are split into words once; words that no query has are dropped before the one shuffle, which is by document:
+    counts, weights and sums follow in place. The queries' terms are counted and go to all tasks if they are at most
+    MOST_TERMS rows; beyond it they are joined by term, where Spark splits frequent ones. (The patched mean is over all
+    words, which are counted apart.)
     """
     qtf = term_counts(queries, query_key, query_tokens).withColumnRenamed("tf", "qtf")
-    asked = qtf.select("term").distinct()
-    words = docs.select(F.col(doc_key), doc_tokens.alias("words")).select(doc_key, "words", F.size("words").cast("long").alias("dl"))
-    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    each = words.select(doc_key, "dl", F.explode("words").alias("term")).join(asked, "term", "left_semi")
+    small = F.broadcast if qtf.count() <= MOST_TERMS else lambda df: df
+    no_word = qtf.sparkSession.createDataFrame([("",)], "term string")  # every document's own row, with its length
+    asked = qtf.select("term").union(no_word).distinct()
+    words = docs.select(F.col(doc_key), F.coalesce(doc_tokens, F.array().cast("array<string>")).alias("words"))
+    each = words.select(doc_key, F.size("words").cast("long").alias("dl"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
+    each = each.join(small(asked), "term", "left_semi").repartition(doc_key)
     tf = each.groupBy(doc_key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    own = F.col("term") == ""
+    stats = tf.agg(F.sum(F.when(own, F.col("tf"))).alias("n_docs"), (F.sum(F.when(own, F.col("tf") * F.col("dl"))) / F.sum(F.when(own, F.col("tf")))).alias("avgdl"))
     if patched:
         seen = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         df = seen.crossJoin(F.broadcast(stats))  # one row
@@ -42,7 +50,7 @@ def scores(docs: DataFrame, doc_key: str, doc_tokens: Column, queries: DataFrame
         df = df.withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     weighted = qtf.join(df, "term").select(query_key, "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(weighted, "term").groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
+    return tf.join(small(weighted), "term").groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, query_key: str, doc_key: str, k: int, least: float = 0.0, digits: int | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 GRID = 50
 LOW, HIGH = 0.05, 0.95
+#: Stretches of scores in which a class's curve is summed.
+BINS = 1024
 
 
 def class_balance(df: DataFrame, label: str = "label", by: str = "class_id") -> DataFrame:
@@ -57,11 +59,23 @@ def grid_thresholds(df: DataFrame, label: str = "label", by: str = "class_id", p
 
 
 def curve_thresholds(df: DataFrame, label: str = "label", by: str = "class_id", prob: str = "prob") -> DataFrame:
-    """The score with the best 2PR / (P + R + 1e-8) on the precision-recall curve, clipped; the smallest of equals."""
-    counts = df.groupBy(by, F.col(prob).alias("threshold")).agg(F.sum((F.col(label) > 0).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(by).orderBy(F.desc("threshold"))
-    whole = Window.partitionBy(by)
-    curve = counts.withColumn("tp", F.sum("pos").over(w)).withColumn("picked", F.sum("n").over(w)).withColumn("all_pos", F.sum("pos").over(whole))
+    """The score with the best 2PR / (P + R + 1e-8) on the precision-recall curve, clipped; the smallest of equals.
+
+    Counts above a score are two-level sums: over the BINS stretches of a class, then within a stretch, so that a class
+    isn't sorted in one task.
+    """
+    score = F.col(prob).cast("double")
+    place = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(score * BINS))).cast("int")
+    stretch = F.when(F.isnan(score), BINS - 1).otherwise(F.coalesce(place, F.lit(-1)))
+    counts = df.groupBy(by, F.col(prob).alias("threshold"), stretch.alias("bin")).agg(F.sum((F.col(label) > 0).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    sums = counts.groupBy(by, "bin").agg(F.sum("pos").alias("bin_pos"), F.sum("n").alias("bin_n"))
+    before = Window.partitionBy(by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    over = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    sums = sums.select(F.col(by).alias("__by"), F.col("bin").alias("__bin"), over("bin_pos").alias("tp0"), over("bin_n").alias("n0"), F.sum("bin_pos").over(Window.partitionBy(by)).alias("all_pos"))
+    w = Window.partitionBy(by, "bin").orderBy(F.desc("threshold"))
+    curve = counts.withColumn("tp", F.sum("pos").over(w)).withColumn("picked", F.sum("n").over(w))
+    curve = curve.join(sums, F.col(by).eqNullSafe(F.col("__by")) & (F.col("bin") == F.col("__bin")))
+    curve = curve.withColumn("tp", F.col("tp") + F.col("tp0")).withColumn("picked", F.col("picked") + F.col("n0"))
     p, r = F.col("tp") / F.col("picked"), F.when(F.col("all_pos") > 0, F.col("tp") / F.col("all_pos")).otherwise(1.0)
     scored = curve.withColumn("score", 2 * p * r / (p + r + 1e-8))
     best = F.max(F.struct("score", (-F.col("threshold")).alias("t"))).alias("b")
@@ -69,9 +83,11 @@ def curve_thresholds(df: DataFrame, label: str = "label", by: str = "class_id",
 
 
 def tuned_thresholds(df: DataFrame, label: str = "label", by: str = "class_id", prob: str = "prob") -> DataFrame:
-    """0.5 for classes without positives, the curve's threshold for 1 to 9, the grid's for more."""
+    """0.5 for classes without positives, the curve's threshold for 1 to 9, the grid's for more; each way sees its classes only."""
     n = df.groupBy(by).agg(F.sum((F.col(label) > 0).cast("long")).alias("n_pos"))
-    few, many = curve_thresholds(df, label, by, prob).withColumnRenamed("threshold", "few"), grid_thresholds(df, label, by, prob).withColumnRenamed("threshold", "many").drop("f1")
+    of = lambda which: df.join(n.where(which).select(by), by, "left_semi")
+    few = curve_thresholds(of("n_pos between 1 and 9"), label, by, prob).withColumnRenamed("threshold", "few")
+    many = grid_thresholds(of("n_pos >= 10"), label, by, prob).withColumnRenamed("threshold", "many").drop("f1")
     picked = F.when(F.col("n_pos") == 0, 0.5).when(F.col("n_pos") < 10, F.col("few")).otherwise(F.col("many"))
     return n.join(few, by, "left").join(many, by, "left").select(by, "n_pos", picked.alias("threshold"))
 

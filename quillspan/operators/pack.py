@@ -48,16 +48,25 @@ def packed_array(entries: Column, budget: int) -> Column:
 
 
 def pack_skip(df: DataFrame, by: list[str], order: list[str], columns: list[str], size: str, budget: int) -> DataFrame:
-    """The rows that a greedy pass in the given ascending order admits, those that don't fit being skipped.
+    """The rows that a greedy pass in the given ascending order admits, those that don't fit being skipped; ties go by size, then a hash of the columns.
 
-    The fold runs over (order, size) pairs and admitted rows are picked out of the array: candidates of a group should be
-    few (a top-k).
+    Rows over the budget go first. The fold runs over (order, size) of what is left, and columns that aren't in the order
+    are joined to the few admitted rows, so texts are in no array.
     """
-    fields = [F.col(c) for c in dict.fromkeys([*order, *columns])]
-    one = F.struct(*fields, F.col(size).cast("long").alias("size"))
-    grouped = df.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("entries"))
+    more = [c for c in dict.fromkeys(columns) if c not in order and c not in by]
+    fits = df.where(F.col(size) <= budget).select(*by, *order, *more, F.col(size).cast("long").alias("__size"))
+    fits = fits.withColumn("__h", F.xxhash64(*more) if more else F.lit(0).cast("long"))
+    one = F.struct(*order, F.col("__size").alias("size"), F.col("__h").alias("h"))
+    grouped = fits.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("entries"))
     kept = F.transform(packed_array(F.col("entries"), budget), lambda i: F.element_at("entries", i + 1))
-    return grouped.select(*by, F.posexplode(kept).alias("pos", "e")).select(*by, "pos", "e.*")
+    admitted = grouped.select(*by, F.posexplode(kept).alias("pos", "e")).select(*by, "pos", "e.*")
+    out = [*by, "pos", *order, *more, "size"]
+    if not more:
+        return admitted.select(*out)
+    keys = [*by, *order, "__size", "__h"]
+    texts = fits.dropDuplicates(keys).select(*(F.col(k).alias(f"__t{i}") for i, k in enumerate(keys)), *more)
+    same = [admitted[k].eqNullSafe(F.col(f"__t{i}")) for i, k in enumerate([*by, *order, "size", "h"])]
+    return admitted.join(texts, same).select(*out)
 
 
 def compose(df: DataFrame, by: list[str], order: list[str], text: str, glue: str = "") -> DataFrame:

@@ -250,3 +250,36 @@ def test_default_features(spark):
     got = df.select(models.gram_counts("smiles", bins=32), "smiles").collect()
     assert sum(got[0][0]) == 5 and len(got[0][0]) == 32
     assert [r[0] for r in models.scaffold_key(df, "smiles").select("scaffold").collect()] == ["CCO", ""]
+
+
+def test_packed_texts_are_joined_to_admitted_rows_only(spark):
+    rows = [("a", 1, "x" * 90), ("a", 2, "y" * 30), ("a", 2, "z" * 30), ("a", 3, "w" * 5), ("a", 3, "w" * 5), ("a", 4, None), (None, 1, "v" * 100), (None, 2, "u" * 101)]
+    df = spark.createDataFrame(rows, "g string, i int, text string").withColumn("size", F.length("text"))
+    found = pack.pack_skip(df, ["g"], ["i"], ["i", "text"], "size", 100)
+    assert sorted((r["g"] or "", r["i"], r["text"][0]) for r in found.collect()) == [("", 1, "v"), ("a", 1, "x"), ("a", 3, "w"), ("a", 3, "w")]
+    assert found.columns == ["g", "pos", "i", "text", "size"]
+
+
+def test_curve_threshold_is_the_one_of_a_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(c, round(rng.random(), 3) if c else 0.5, int(rng.random() < 0.03 * c)) for c in range(4) for _ in range(400)]
+    df = spark.createDataFrame(rows, "class_id int, prob double, label int")
+
+    def best(mine):
+        total, found = sum(y for _, y in mine), []
+        for t in sorted({p for p, _ in mine}):
+            picked = [y for p, y in mine if p >= t]
+            p, r = sum(picked) / len(picked), sum(picked) / total if total else 1.0
+            found.append((-(2 * p * r / (p + r + 1e-8)), t))
+        return min(0.95, max(0.05, min(found)[1]))
+
+    got = {r["class_id"]: r["threshold"] for r in metrics.curve_thresholds(df).collect()}
+    assert got == {c: best([(p, y) for k, p, y in rows if k == c]) for c in range(4)}
+
+
+def test_images_of_one_key_share_an_envelope(spark):
+    df = spark.createDataFrame([(1, [[0.0, 1.0], [0.0, 0.0]]), (1, [[0.0, 0.0], [1.0, 1.0]]), (2, []), (3, None)], "id int, im array<array<double>>")
+    got = sorted(tuple(r) for r in raster.column_envelope(df, ["id"], "im").select("id", "x", "y_min", "y_max", "mid").collect())
+    assert got == [(1, 0, 1, 1, 1.0), (1, 1, 0, 1, 1.5)]
