@@ -236,3 +236,13 @@ def snippets_of(source: str | Column, names: str | Column) -> Column:
         return pd.Series([relevant_snippets(s or "", set(n) if n is not None else set()) for s, n in zip(source, names, strict=True)], dtype=object)
 
     return found(source, names)
+
+
+def chunks_of(path: str | Column, source: str | Column) -> Column:
+    """chunks() of columns of paths and sources."""
+
+    @F.pandas_udf("array<struct<name:string,kind:string,text:string>>")
+    def found(path: pd.Series, source: pd.Series) -> pd.Series:
+        return pd.Series([chunks(p or "", s or "") for p, s in zip(path, source, strict=True)], dtype=object)
+
+    return found(path, source)

@@ -191,6 +191,26 @@ def random_file(spark, sf_dir):
     return split.pick(_docs(spark, sf_dir), "source", "doc_id")
 
 
+@query("SELECT doc_id, (('0x' || substr(md5('42/' || doc_id), 1, 8))::UBIGINT < 429496729) AS is_val FROM documents")
+def row_split(spark, sf_dir):
+    return split.row_split(_docs(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+@query(PACKED + """, c AS (SELECT source, string_agg('<|file_sep|>' || path || chr(10) || text, '' ORDER BY doc_id) AS context FROM f WHERE kept GROUP BY ALL)
+SELECT count(*) AS n, CAST(sum(length(context)) AS BIGINT) AS chars, round(sum(length(context)) / 3.8::DOUBLE, 3) AS tokens FROM c""")
+def context_totals(spark, sf_dir):
+    """Number, characters and estimated tokens of the packed contexts."""
+    return pack.context_summary(compose_context(spark, sf_dir)).withColumn("tokens", F.round("tokens", 3))
+
+
+@query("""WITH w AS (SELECT source, min(doc_id) AS first, lower(regexp_extract(text, '[a-zA-Z]+')) AS word FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY ALL)
+SELECT source, word, first, row_number() OVER (PARTITION BY source ORDER BY first, word)::INTEGER AS rank FROM w""")
+def first_words(spark, sf_dir):
+    """The distinct first words of a source's documents in the order of their first place."""
+    rows = _docs(spark, sf_dir).where("source is not null and text is not null").select("source", "doc_id", F.lower(F.regexp_extract("text", "[a-zA-Z]+", 0)).alias("word"))
+    return resolve.first_seen(rows, ["source"], "word", "doc_id").select("source", "word", "first", "rank")
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_anti(spark, sf_dir):
     return _docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
@@ -241,6 +261,17 @@ def ast_snippets(spark, sf_dir):
     return code.select("doc_id", F.array_join("f.bases", ",").alias("bases"), F.array_join("f.hints", ",").alias("hints"), found.alias("snippets"))
 
 
+@query("""SELECT doc_id, 'C' || doc_id AS name, 'class' AS kind, length(concat('class C', doc_id, '(Base', doc_id, '):', chr(10), '    \"\"\"', w, '\"\"\"', chr(10), '    def run(self, x: Kind', doc_id, '):', chr(10), '        return os.path.join(x, helper', doc_id, ')'))::INTEGER AS n_chars
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g') AS w FROM documents)
+UNION ALL SELECT doc_id, 'run', 'method', length(concat('    def run(self, x: Kind', doc_id, '):', chr(10), '        return os.path.join(x, helper', doc_id, ')')) FROM documents
+UNION ALL SELECT doc_id, 'f' || doc_id, 'function', length(concat('def f', doc_id, '(a, b=1):', chr(10), '    return a')) FROM documents WHERE length(doc_id::VARCHAR) >= 3""")
+def ast_chunks(spark, sf_dir):
+    """Definitions of at least 30 characters as chunks of their files; those of the packages' own files are left out."""
+    path = F.concat(F.lit("pkg/m"), F.col("doc_id").cast("string"), F.lit(".py"))
+    found = sources(spark, sf_dir).select("doc_id", F.explode(codeast.chunks_of(path, "code")).alias("c"))
+    return found.select("doc_id", "c.name", "c.kind", F.length("c.text").alias("n_chars"))
+
+
 def _points(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = sources(spark, sf_dir).select(F.col("source").alias("repo"), F.lit("r1").alias("revision"), F.concat(F.lit("pkg/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("code").alias("content"))
     i = F.col("item_id").cast("string")
