@@ -144,38 +144,65 @@ def write_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """The bytes of a PNG's rows without their filters; step: the distance of a byte to its left neighbour's."""
+    h, width = raw.shape[0], raw.shape[1] - 1
+    out, above = np.zeros((h, width), np.uint8), np.zeros(width, np.uint8)
+    for y in range(h):
+        kind, line = int(raw[y, 0]), raw[y, 1:]
+        if kind == 1:
+            whole = np.zeros(-(-width // step) * step, np.uint8)
+            whole[:width] = line
+            line = np.cumsum(whole.reshape(-1, step), 0, dtype=np.uint8).reshape(-1)[:width]
+        elif kind == 2:
+            line = line + above
+        elif kind in (3, 4):  # each byte needs the one before: plain integers
+            done, up = bytearray(step) + bytearray(line.tobytes()), bytes(step) + above.tobytes()
+            for x in range(step, step + width):
+                a, b, c = done[x - step], up[x], up[x - step]
+                if kind == 3:
+                    guess = (a + b) >> 1
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                done[x] = (done[x] + guess) & 255
+            line = np.frombuffer(bytes(done[step:]), np.uint8)
+        elif kind:
+            raise ValueError(f"unknown PNG filter {kind}")
+        out[y], above = line, line
+    return out
+
+
 def read_png(data: bytes) -> np.ndarray:
-    """8-bit grey or colour (to grey by luma) PNG without interlace."""
+    """A grey image of 8 bits from a PNG file without interlace: colours and palettes by luma, 16 bits by their upper 8, fewer bits spread to 0..255; alpha is left out."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
-    at, body, head = 8, b"", None
+    at, body, head, palette = 8, b"", None, None
     while at < len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
         at += 12 + n
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             body += part
     w, h, depth, colour, _, _, interlace = head
-    bpp = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
-    if depth != 8 or bpp is None or interlace:
-        raise ValueError("only 8-bit grey and colour PNG files without interlace are read")
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * bpp)
-    out, above = np.zeros((h, w * bpp), np.uint8), np.zeros(w * bpp, np.uint8)
-    for y in range(h):
-        f, line = int(raw[y, 0]), raw[y, 1:].copy()
-        if f == 2:
-            line = line + above
-        elif f:
-            for x in range(w * bpp):
-                a = int(line[x - bpp]) if x >= bpp else 0
-                b, c = int(above[x]), int(above[x - bpp]) if x >= bpp else 0
-                pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                guess = a if f == 1 else (a + b) // 2 if f == 3 else a if pa <= pb and pa <= pc else b if pb <= pc else c
-                line[x] = (int(line[x]) + guess) & 255
-        out[y], above = line, line
-    image = out.reshape(h, w, bpp)
-    if bpp < 3:
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if channels is None or interlace or depth not in (1, 2, 4, 8, 16) or (colour == 3 and palette is None):
+        raise ValueError("only PNG files without interlace are read")
+    rows = _unfiltered(np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + -(-w * channels * depth // 8)), max(1, channels * depth // 8))
+    if depth == 16:
+        rows = rows[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(h, -1, depth)
+        rows = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)
+        if colour == 0:
+            rows = rows * np.uint8(255 // ((1 << depth) - 1))
+    image = rows[:, : w * channels].reshape(h, w, channels)
+    if colour == 3:
+        image = palette[image[:, :, 0]]
+    elif channels < 3:
         return image[:, :, 0]
     return np.round(image[:, :, :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)

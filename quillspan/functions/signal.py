@@ -80,38 +80,54 @@ def pchip_fill(y: np.ndarray) -> np.ndarray:
 
 
 def _penta_solve(diag: np.ndarray, off1: np.ndarray, off2: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """Symmetric positive pentadiagonal system by LDL'."""
+    """Symmetric positive pentadiagonal systems by LDL', many at once: diag and rhs (n, systems), the off diagonals (n,)."""
     n = len(diag)
-    d, l1, l2, z = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    d, l1, l2, z = (np.zeros_like(rhs) for _ in range(4))
     for i in range(n):
-        a = off2[i - 2] if i > 1 else 0.0
-        b = (off1[i - 1] if i else 0.0) - (l2[i] * 0)
-        l2[i] = a / d[i - 2] if i > 1 else 0.0
-        l1[i] = (b - (l2[i] * d[i - 2] * l1[i - 1] if i > 1 else 0.0)) / d[i - 1] if i else 0.0
-        d[i] = diag[i] - (l1[i] ** 2 * d[i - 1] if i else 0.0) - (l2[i] ** 2 * d[i - 2] if i > 1 else 0.0)
-        z[i] = rhs[i] - (l1[i] * z[i - 1] if i else 0.0) - (l2[i] * z[i - 2] if i > 1 else 0.0)
+        d[i], z[i] = diag[i], rhs[i]
+        if i > 1:
+            l2[i] = off2[i - 2] / d[i - 2]
+            d[i] -= l2[i] ** 2 * d[i - 2]
+            z[i] -= l2[i] * z[i - 2]
+        if i:
+            l1[i] = (off1[i - 1] - (l2[i] * d[i - 2] * l1[i - 1] if i > 1 else 0.0)) / d[i - 1]
+            d[i] -= l1[i] ** 2 * d[i - 1]
+            z[i] -= l1[i] * z[i - 1]
     z /= d
     for i in range(n - 2, -1, -1):
-        z[i] -= l1[i + 1] * z[i + 1] + (l2[i + 2] * z[i + 2] if i + 2 < n else 0.0)
+        z[i] -= l1[i + 1] * z[i + 1]
+        if i + 2 < n:
+            z[i] -= l2[i + 2] * z[i + 2]
     return z
 
 
 def als_baseline(y: np.ndarray, lam: float = 1e5, p: float = 0.01, rounds: int = 10) -> np.ndarray:
-    """Asymmetric least squares baseline: weight p above, 1 - p below, 0 where equal."""
+    """Asymmetric least squares baseline of a signal, or of many as rows of a matrix: weight p above, 1 - p below, 0 where equal."""
     y = np.asarray(y, float)
-    n = len(y)
+    n = y.shape[-1]
     if n < 3:
-        return np.zeros(n)
+        return np.zeros_like(y)
     d2 = np.zeros((3, n))
     for k, c in enumerate((1.0, -2.0, 1.0)):
         for j, e in enumerate((1.0, -2.0, 1.0)):
             if j >= k:
                 d2[j - k, k : n - 2 + k] += c * e
-    w, z = np.ones(n), y
+    t = np.ascontiguousarray(np.atleast_2d(y).T)  # samples first, so that a step takes all signals
+    w, z = np.ones_like(t), t
     for _ in range(rounds):
-        z = _penta_solve(w + lam * d2[0], lam * d2[1], lam * d2[2], w * y)
-        w = p * (y > z) + (1 - p) * (y < z)
-    return z
+        z = _penta_solve(w + lam * d2[0][:, None], lam * d2[1], lam * d2[2], w * t)
+        w = p * (t > z) + (1 - p) * (t < z)
+    return z.T.reshape(y.shape)
+
+
+def by_length(signals: list[np.ndarray], function) -> list[np.ndarray]:
+    """function (matrix to matrix, a signal a row) applied to the signals of each length at once."""
+    length, out = np.array([len(x) for x in signals], int), [np.empty(0)] * len(signals)
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        for i, row in zip(at, function(np.stack([signals[i] for i in at])), strict=True):
+            out[i] = row
+    return out
 
 
 def savgol(y: np.ndarray, window: int = 7, order: int = 3) -> np.ndarray:

@@ -81,7 +81,7 @@ def _smoothed(name: str, function, doc: str):
     def run(spark, sf_dir):
         @F.pandas_udf("array<double>")
         def apply(x: pd.Series) -> pd.Series:
-            return x.map(lambda v: function(np.asarray(v, float)).tolist())
+            return pd.Series([v.tolist() for v in function([np.asarray([] if v is None else v, float) for v in x])], dtype=object)
 
         e = table(spark, sf_dir, "embeddings").select("vec_id", apply(F.col("embedding").cast("array<double>")).alias("y"))
         return e.select("vec_id", F.posexplode("y").alias("i", "v")).withColumn("v", F.round("v", 6))
@@ -90,9 +90,9 @@ def _smoothed(name: str, function, doc: str):
     return query()(run)
 
 
-signal_baseline_als = _smoothed("signal_baseline_als", lambda x: x - signal.als_baseline(x), "Signals less their asymmetric least squares baseline.")
-savgol = _smoothed("savgol", signal.savgol, "Signals smoothed by cubics over seven samples.")
-pchip_fill = _smoothed("pchip_fill", lambda x: signal.pchip_fill(np.where(x > -0.1, x, np.nan)), "Samples below -0.1 filled by monotone cubics.")
+signal_baseline_als = _smoothed("signal_baseline_als", lambda xs: signal.by_length(xs, lambda m: m - signal.als_baseline(m)), "Signals less their asymmetric least squares baseline.")
+savgol = _smoothed("savgol", lambda xs: map(signal.savgol, xs), "Signals smoothed by cubics over seven samples.")
+pchip_fill = _smoothed("pchip_fill", lambda xs: (signal.pchip_fill(np.where(x > -0.1, x, np.nan)) for x in xs), "Samples below -0.1 filled by monotone cubics.")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
