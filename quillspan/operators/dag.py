@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 def closure(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """(node, ancestor) pairs, every node with itself too, by a fixpoint of joins.
 
-    New pairs only are joined in each round. Lineage is cut by checkpoint() once in a few rounds where a checkpoint
-    folder is set.
+    New pairs only are joined in each round. Where a checkpoint folder is set, lineage is cut by checkpoint() once in a
+    few rounds and at the end, and nothing stays cached.
     """
     spark = edges.sparkSession
     edges = edges.select("child", "parent").distinct().cache()
@@ -23,7 +23,7 @@ def closure(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     can_cut = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     total = nodes.select("node", F.col("node").alias("ancestor"))
-    new, depth = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")), 0
+    new, depth, cached = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")), 0, [edges]
     limit = nodes.count()
     while not new.isEmpty():
         depth += 1
@@ -34,9 +34,16 @@ def closure(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
             total = total.checkpoint()
         step = new.join(edges, new.ancestor == edges.child).select("node", F.col("parent").alias("ancestor")).distinct()
         new = step.cache()
+        cached.append(new)
+    total = total.distinct()
+    if can_cut:
+        total = total.checkpoint()
     if not total.join(edges, (total.ancestor == edges.child) & (total.node == edges.parent)).isEmpty():
         raise ValueError("the hierarchy has a cycle")
-    return total.distinct()
+    if can_cut:
+        for df in cached:
+            df.unpersist()
+    return total
 
 
 def hard_propagate(labels: DataFrame, pairs: DataFrame, key: str, node: str = "class_id", label: str = "label", columns: DataFrame | None = None) -> DataFrame:
